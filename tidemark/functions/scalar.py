@@ -123,7 +123,7 @@ def _format(pattern: Arg, *xs: Arg) -> Column:
 
 def _get(target: Arg, key: Arg, default: Arg = None) -> Column:
     if isinstance(target, dict):
-        value = c(target).getItem(c(key)) if False else F.try_element_at(c(target), c(key))
+        value = F.try_element_at(c(target), c(key))
     else:
         value = F.try_element_at(c(target), c(key) + 1 if isinstance(key, int) else c(key))
     return value if default is None else F.coalesce(value, c(default))
@@ -145,7 +145,7 @@ def _slice_from(x: Arg, n: Arg) -> Column:
 def _count(x: Arg) -> Column:
     if isinstance(x, str):
         return F.lit(len(x))
-    return F.coalesce(F.size(c(x)), F.lit(0)) if not is_column(x) else F.expr("1") * 0 + F.when(c(x).isNull(), 0).otherwise(F.length(c(x).cast("string")))
+    return F.coalesce(F.size(c(x)), F.lit(0)) if not is_column(x) else F.when(c(x).isNull(), 0).otherwise(F.length(c(x).cast("string")))
 
 
 def _frequencies(x: Arg) -> Column:
@@ -247,8 +247,8 @@ REGISTRY: dict[str, Callable[..., Column]] = {
     "upper-case": _seq(F.upper), "lower-case": _seq(F.lower), "capitalize": lambda x: F.concat(F.upper(F.substring(c(x), 1, 1)), F.lower(F.substring(c(x), 2, 1 << 30))), "trim": _seq(F.trim), "triml": _seq(F.ltrim), "trimr": _seq(F.rtrim),
     "blank?": lambda x: F.coalesce(F.trim(c(x)) == "", F.lit(True)), "split": lambda x, p: F.split(c(x), _regex(p)), "join": lambda sep, x: F.array_join(c(x), sep), "index-of": lambda x, p: F.nullif(F.instr(c(x), p) - 1, F.lit(-1)), "string-length": _seq(F.length), "string-reverse": _seq(F.reverse),
     # Sequences.
-    "count": _count, "size": _seq(F.size), "first": lambda x: F.try_element_at(c(x), F.lit(1)), "second": lambda x: F.try_element_at(c(x), F.lit(2)), "last": lambda x: F.try_element_at(c(x), F.lit(-1)), "peek": lambda x: F.try_element_at(c(x), F.lit(-1)),
-    "ffirst": lambda x: F.try_element_at(F.try_element_at(c(x), F.lit(1)), F.lit(1)), "fnext": lambda x: F.try_element_at(c(x), F.lit(2)), "nth": lambda x, n: F.element_at(c(x), c(n).cast("int") + 1),
+    "count": _count, "size": _seq(F.size), "first": lambda x: F.get(c(x), F.lit(0)), "second": lambda x: F.get(c(x), F.lit(1)), "last": lambda x: F.try_element_at(c(x), F.lit(-1)), "peek": lambda x: F.try_element_at(c(x), F.lit(-1)),
+    "ffirst": lambda x: F.try_element_at(F.get(c(x), F.lit(0)), F.lit(1)), "fnext": lambda x: F.get(c(x), F.lit(1)), "nth": lambda x, n: F.element_at(c(x), c(n).cast("int") + 1),
     "rest": lambda x: _slice_from(x, 1), "next": lambda x: F.when(F.size(c(x)) > 1, _slice_from(x, 1)), "nfirst": lambda x: _slice_from(F.element_at(c(x), 1), 1), "nnext": lambda x: _slice_from(x, 2), "nthrest": lambda x, n: _slice_from(x, n), "nthnext": lambda x, n: F.when(F.size(c(x)) > c(n), _slice_from(x, n)),
     "butlast": lambda x: F.slice(c(x), F.lit(1), F.greatest(F.size(c(x)) - 1, F.lit(0))), "drop-last": lambda x: F.slice(c(x), F.lit(1), F.greatest(F.size(c(x)) - 1, F.lit(0))), "pop": lambda x: F.slice(c(x), F.lit(1), F.greatest(F.size(c(x)) - 1, F.lit(0))),
     "take": lambda n, x: F.slice(c(x), F.lit(1), c(n).cast("int")), "drop": lambda n, x: _slice_from(x, n), "take-last": lambda n, x: F.slice(c(x), F.greatest(F.size(c(x)) - c(n).cast("int") + 1, F.lit(1)), c(n).cast("int")),

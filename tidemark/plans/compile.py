@@ -389,14 +389,14 @@ class Compiler:
             df = df.withColumn(column, value)
             kind = df.schema[column].dataType
             for k, name in enumerate(names):
-                one = F.col(column).getField(kind.fieldNames()[k]) if isinstance(kind, T.StructType) else F.try_element_at(F.col(column), F.lit(k + 1))
+                one = F.col(column).getField(kind.fieldNames()[k]) if isinstance(kind, T.StructType) else F.get(F.col(column), F.lit(k))
                 df = self._set(df, name, one)
             return df.drop(column)
         column = fresh("__r")
         df = df.withColumn(column, F.explode(F.array_distinct(value)))
         kind = df.schema[column].dataType
         for k, name in enumerate(names):
-            one = F.col(column).getField(kind.fieldNames()[k]) if isinstance(kind, T.StructType) else F.try_element_at(F.col(column), F.lit(k + 1))
+            one = F.col(column).getField(kind.fieldNames()[k]) if isinstance(kind, T.StructType) else F.get(F.col(column), F.lit(k))
             df = self._set(df, name, one)
         return df.drop(column)
 

@@ -6,6 +6,7 @@ run over whole tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -17,6 +18,12 @@ from tidemark.model import Catalog, entity_table
 from tidemark.operators.pull import pull_columns
 from tidemark.operators.temporal import as_of, history
 from tidemark.operators.text import index, search
+from tidemark.plans.sparql import translate
+from tidemark.sources.connect import as_text, records_to_ops
+from tidemark.sources.ntriples import parse_ntriples
+from tidemark.sql import Sql
+from tidemark.streaming.ingest import LogIngest, documents_of, fold_log
+from tidemark.workspace import shared_root
 
 KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": None, "events": "event_id", "documents": "doc_id"}
 
@@ -421,3 +428,113 @@ def window_rank(spark: SparkSession, d: str) -> DataFrame:
 @register("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 def cube_rollup(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/lineitem.parquet").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("q"))
+
+
+@register("SELECT event_type, count(*) AS n FROM (SELECT arg_max(event_type, (ts, event_id)) AS event_type FROM events WHERE ts <= TIMESTAMP '2024-01-10' AND user_id > 20 GROUP BY user_id) GROUP BY event_type")
+def sql_temporal_view(spark: SparkSession, d: str) -> DataFrame:
+    """A SQL statement with a valid-time prefix over a table that a query defines."""
+
+    def at(valid_time: datetime | None = None, tx_time: datetime | None = None, tx_id: int | None = None) -> Db:
+        return Db(spark, Catalog().add(entity_table("users", as_of(versions(spark, d), valid_time, tx_id, payload=["event_type"]), "eid")))
+
+    sql = Sql(spark, at)
+    sql.create_table("user_state", "{:find [?user ?kind] :where [[?user :event_type ?kind] [(> ?user 20)]]}", {"?user": "bigint", "?kind": "varchar"})
+    return sql.sql("VALIDTIME('2024-01-10') SELECT kind AS event_type, count(*) AS n FROM user_state GROUP BY kind")
+
+
+def event_log(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a log of puts of their users' state."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    return events.select(
+        F.col("event_id").cast("long").alias("tx_id"), F.col("ts").alias("tx_time"), F.lit(0).alias("op_idx"), F.lit("put").alias("op"), F.col("user_id").cast("string").alias("eid"),
+        F.col("ts").alias("vt"), F.lit(None).cast("timestamp").alias("end_vt"), F.to_json(F.struct("event_type", "event_id")).alias("doc"),
+    )
+
+
+_LAST = "SELECT CAST(user_id AS VARCHAR) AS eid, max(event_id) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id"
+
+
+@register(_LAST)
+def batch_fold(spark: SparkSession, d: str) -> DataFrame:
+    """A whole log folded at once; the current state of each entity."""
+    log = event_log(spark, d)
+    alive = as_of(fold_log(log), payload=["content_hash"], alive="content_hash")
+    docs = documents_of(log).select("content_hash", "doc").dropDuplicates(["content_hash"])
+    state = alive.join(docs, "content_hash").select("eid", F.from_json("doc", "event_type string, event_id long").alias("s"))
+    return state.select("eid", "s.event_id", "s.event_type")
+
+
+@register(_LAST)
+def stream_replay(spark: SparkSession, d: str) -> DataFrame:
+    """The same log written to files, tailed as a stream to its end, and read back."""
+    root = f"{shared_root(spark)}/tidemark/replay-{uuid.uuid4().hex}"
+    event_log(spark, d).write.parquet(f"{root}/log")
+    ingest = LogIngest(spark, f"{root}/tables")
+    ingest.start(f"{root}/log", available_now=True).awaitTermination()
+    state = ingest.current().select("eid", F.from_json("doc", "event_type string, event_id long").alias("s"))
+    return state.select("eid", "s.event_id", "s.event_type")
+
+
+@register("""
+SELECT user_id AS eid, vt, CASE WHEN vt = TIMESTAMP '2024-02-10' THEN 'base' WHEN vt = TIMESTAMP '2024-02-05' THEN 'trial' ELSE 'base' END AS state
+FROM (SELECT DISTINCT user_id FROM events), (VALUES (TIMESTAMP '2024-02-01'), (TIMESTAMP '2024-02-05'), (TIMESTAMP '2024-02-10')) v(vt)""")
+def put_range_fold(spark: SparkSession, d: str) -> DataFrame:
+    """A put with an end over an open one: the old state comes back at the end."""
+    users = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("eid")).distinct()
+    put = lambda tx, vt, end, doc: users.select(F.lit(tx).cast("long").alias("tx_id"), F.lit(datetime(2024, 3, 1)).alias("tx_time"), F.lit(0).alias("op_idx"), F.lit("put").alias("op"), "eid", F.lit(vt).cast("timestamp").alias("vt"), F.lit(end).cast("timestamp").alias("end_vt"), F.lit(doc).alias("doc"))
+    folded = fold_log(put(1, datetime(2024, 2, 1), None, "base").union(put(2, datetime(2024, 2, 5), datetime(2024, 2, 10), "trial")))
+    named = F.when(F.col("content_hash") == F.sha1(F.lit("base").cast("binary")), "base").otherwise("trial")
+    return folded.select(F.col("eid").cast("long").alias("eid"), "vt", named.alias("state"))
+
+
+@register("SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 5000 AND c_mktsegment IN ('BUILDING', 'MACHINERY') AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
+def sparql_filter(spark: SparkSession, d: str) -> DataFrame:
+    query, args = translate("""
+      SELECT ?c ?name WHERE { ?c <c_name> ?name ; <c_acctbal> ?b ; <c_mktsegment> ?s . FILTER(?b > 5000 && ?s IN ("BUILDING", "MACHINERY"))
+        FILTER NOT EXISTS { ?o <o_custkey> ?c ; <o_totalprice> ?t . FILTER(?t > 400000) } }""")
+    query.keys = ["c_custkey", "c_name"]
+    return database(spark, d, "customer", "orders").df(query, *args)
+
+
+@register(f"WITH RECURSIVE e AS ({_EDGES}), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM r WHERE b < 10")
+def sparql_path(spark: SparkSession, d: str) -> DataFrame:
+    query, args = translate("SELECT ?a ?b WHERE { ?a <b>+ ?b . FILTER(?b < 10) }")
+    return graph(spark, d).df(query, *args)
+
+
+@register("SELECT n_nationkey AS s, n_name AS o FROM nation")
+def ntriples_source(spark: SparkSession, d: str) -> DataFrame:
+    """Rows written as N-Triples lines and parsed again."""
+    nation = spark.read.parquet(f"{d}/nation.parquet")
+    lines = nation.select(F.concat(F.lit("<http://example.org/"), F.col("n_nationkey"), F.lit("> <http://example.org/name> \""), "n_name", F.lit("\" .")).alias("value"))
+    return parse_ntriples(lines).select(F.regexp_extract("s", r"(\d+)$", 1).cast("int").alias("s"), "o")
+
+
+@register("SELECT r_regionkey || ',' || r_name AS value FROM region UNION ALL SELECT 'r_regionkey,r_name'")
+def csv_result(spark: SparkSession, d: str) -> DataFrame:
+    return as_text(database(spark, d, "region").df("{:find [g name] :keys [r_regionkey r_name] :where [[g :r_name name]]}"), "csv")
+
+
+@register("SELECT CAST(p_partkey AS VARCHAR) AS eid, CASE WHEN p_partkey % 5 = 0 THEN 'delete' ELSE 'put' END AS op FROM part")
+def connect_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records of a topic as operations: null values delete."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    records = part.select(F.col("p_partkey").cast("string").alias("key"), F.when(F.col("p_partkey") % 5 != 0, F.to_json(F.struct("p_name"))).alias("value"))
+    return records_to_ops(records).select("eid", "op")
+
+
+@register("SELECT o_orderstatus, CAST(count(DISTINCT o_custkey) > 0 AS BOOLEAN) AS some FROM orders GROUP BY o_orderstatus")
+def approx_distinct(spark: SparkSession, d: str) -> DataFrame:
+    out = database(spark, d, "orders").df("{:find [s (approx-count-distinct c)] :keys [o_orderstatus n] :where [[o :o_orderstatus s] [o :o_custkey c]]}")
+    return out.select("o_orderstatus", (F.col("n") > 0).alias("some"))
+
+
+@register("""
+SELECT s_suppkey, s_name, round(total, 2) AS total FROM supplier JOIN (SELECT l_suppkey, sum(l_extendedprice * (1 - l_discount)) AS total FROM lineitem WHERE l_shipdate >= DATE '1998-01-01' AND l_shipdate < DATE '1998-04-01' GROUP BY l_suppkey) r ON s_suppkey = l_suppkey
+WHERE total = (SELECT max(t) FROM (SELECT sum(l_extendedprice * (1 - l_discount)) AS t FROM lineitem WHERE l_shipdate >= DATE '1998-01-01' AND l_shipdate < DATE '1998-04-01' GROUP BY l_suppkey))""")
+def subq_max(spark: SparkSession, d: str) -> DataFrame:
+    """The supplier of the largest revenue: the sub-query's rows are ordered and limited."""
+    return database(spark, d, "lineitem", "supplier").df("""
+      {:find [s name t] :keys [s_suppkey s_name total]
+       :where [[(q {:find [k (sum r)] :where [[l :l_suppkey k] [l :l_extendedprice p] [l :l_discount disc] [l :l_shipdate ship] [(>= ship #inst "1998-01-01")] [(< ship #inst "1998-04-01")] [(- 1 disc) keep] [(* p keep) r]]
+                    :order-by [[(sum r) :desc]] :limit 1}) [[s t]]] [s :s_name name]]}""").select("s_suppkey", "s_name", money("total"))
