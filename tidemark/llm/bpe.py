@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import Workspace
 
 #: Text characters of a chunk; its distinct words and positions are one row.
-CHUNK_CHARS = 12 << 20
+CHUNK_CHARS = 8 << 20
+#: Rows of a batch that goes back to Spark.
+ROWS = 256
 #: White space as the pre-tokenizer's pattern has it (Unicode White_Space).
 _SPACES = " \t-\r\x85\xa0  -     　"
 #: Before such a space a piece always ends: a run of white space gives its last space to the word that follows.
@@ -105,12 +107,13 @@ def _split(path: str, buckets: int) -> object:
                 slot = groups[zlib.crc32(word.encode()) % buckets]
                 slot[0].append(at)
                 slot[1].append(word)
-            parts = []
+            parts, orders = [], []
             for bucket, (at, words) in enumerate(groups):
                 if at:
                     raw = [w.encode() for w in words]
-                    parts.append({"bucket": bucket, "at": _pack(np.array(at, np.uint32)), "sizes": _pack(np.array([len(w) for w in raw], np.uint32)), "words": zstandard.ZstdCompressor(level=3).compress(b"".join(raw))})
-            row = pa.RecordBatch.from_pylist([{"chunk": (task << 24) | made, "doc_ids": ids.copy(), "lengths": _pack(np.array(lengths, np.uint32)), "places": _pack(np.concatenate(places)), "parts": parts}], _CHUNK)
+                    orders.append({"bucket": bucket, "at": _pack(np.diff(np.array(at, np.uint32), prepend=np.uint32(0)))})
+                    parts.append({"bucket": bucket, "sizes": _pack(np.array([len(w) for w in raw], np.uint32)), "words": zstandard.ZstdCompressor(level=3).compress(b"".join(raw))})
+            row = pa.RecordBatch.from_pylist([{"chunk": (task << 24) | made, "doc_ids": ids.copy(), "lengths": _pack(np.array(lengths, np.uint32)), "places": _pack(np.concatenate(places)), "orders": orders, "parts": parts}], _CHUNK)
             made += 1
             ids.clear(), lengths.clear(), places.clear()
             index, size = _Places(), 0
@@ -132,8 +135,9 @@ def _split(path: str, buckets: int) -> object:
     return run
 
 
-_PART = pa.struct([("bucket", pa.int32()), ("at", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary())])
-_CHUNK = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("places", pa.binary()), ("parts", pa.list_(_PART))])
+_ORDER = pa.struct([("bucket", pa.int32()), ("at", pa.binary())])
+_PART = pa.struct([("bucket", pa.int32()), ("sizes", pa.binary()), ("words", pa.binary())])
+_CHUNK = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("places", pa.binary()), ("orders", pa.list_(_ORDER)), ("parts", pa.list_(_PART))])
 
 
 def _encode(path: str) -> object:
@@ -151,12 +155,12 @@ def _encode(path: str) -> object:
                 new = [w for w in words if w not in table]
                 for k in range(0, len(new), 4096):
                     some = new[k : k + 4096]
-                    for word, got in zip(some, model.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
+                    for word, got in zip(some, model.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
                         table[word] = struct.pack(f"<{len(got.ids)}I", *got.ids)
                 found = [table[w] for w in words]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["chunk"]]), pa.array([row["at"]], pa.binary()), pa.array([_pack(np.array([len(x) // 4 for x in found], np.uint32))], pa.binary()), pa.array([_pack(np.frombuffer(b"".join(found), "<u4"))], pa.binary())],
-                    names=["chunk", "at", "counts", "ids"],
+                    [pa.array([row["chunk"]]), pa.array([row["bucket"]], pa.int32()), pa.array([_pack(np.array([len(x) // 4 for x in found], np.uint32))], pa.binary()), pa.array([_pack(np.frombuffer(b"".join(found), "<u4"))], pa.binary())],
+                    names=["chunk", "bucket", "counts", "ids"],
                 )
 
     return run
@@ -168,27 +172,30 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.b
 def _assemble(path: str) -> object:
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         table = pieces(path)
-        total = sum(len(_unpack(at)) for at in words["at"].to_pylist())
+        orders = {o["bucket"]: np.cumsum(_unpack(o["at"]), dtype=np.int64).tolist() for row in docs["orders"].to_pylist() for o in row}
+        total = sum(map(len, orders.values()))
         encoded: list[bytes] = [b""] * total
         decoded: list[bytes] = [b""] * total
-        for row in words.to_pylist():
-            counts, ids = _unpack(row["counts"]), _unpack(row["ids"])
-            parts = [table[i] for i in ids.tolist()]
-            raw, end = ids.tobytes(), 0
-            for at, count in zip(_unpack(row["at"]).tolist(), counts.tolist(), strict=True):
+        for k in range(words.num_rows):
+            row = words.slice(k, 1).to_pylist()[0]
+            ids, end = _unpack(row["ids"]), 0
+            raw, parts = ids.tobytes(), [table[i] for i in ids.tolist()]
+            for at, count in zip(orders.pop(row["bucket"]), _unpack(row["counts"]).tolist(), strict=True):
                 encoded[at] = raw[4 * end : 4 * (end + count)]
                 decoded[at] = b"".join(parts[end : end + count])
                 end += count
-        out: list[list] = [[], [], [], []]
-        for row in docs.to_pylist():
-            places, end = _unpack(row["places"]).tolist(), 0
-            for doc, length in zip(row["doc_ids"], _unpack(row["lengths"]).tolist(), strict=True):
-                here = places[end : end + length]
-                end += length
-                ids = b"".join([encoded[k] for k in here])
-                for column, value in zip(out, (doc, len(ids) // 4, ids, b"".join([decoded[k] for k in here]).decode("utf-8", "replace")), strict=True):
-                    column.append(value)
-        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(out, _OUT, strict=True)], schema=_OUT)
+        out = []
+        for row in docs.select(["doc_ids", "lengths", "places"]).to_pylist():
+            places, ends = _unpack(row["places"]), np.concatenate([[0], np.cumsum(_unpack(row["lengths"]), dtype=np.int64)])
+            for start in range(0, len(row["doc_ids"]), ROWS):
+                ids, texts = [], []
+                for d in range(start, min(start + ROWS, len(row["doc_ids"]))):
+                    here = places[ends[d] : ends[d + 1]].tolist()
+                    ids.append(b"".join([encoded[k] for k in here]))
+                    texts.append(b"".join([decoded[k] for k in here]).decode("utf-8", "replace"))
+                columns = [row["doc_ids"][start : start + ROWS], [len(x) // 4 for x in ids], ids, texts]
+                out.append(pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _OUT, strict=True)], schema=_OUT))
+        return pa.Table.from_batches(out, _OUT)
 
     return run
 
@@ -211,9 +218,9 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     work = Workspace(spark, "bpe")
     buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "chunk long, doc_ids array<long>, lengths binary, places binary, parts array<struct<bucket: int, at: binary, sizes: binary, words: binary>>"
-    chunks = work.cut(docs.mapInArrow(_split(tokenizer_path, buckets), schema), "chunks")
+    schema = "chunk long, doc_ids array<long>, lengths binary, places binary, orders array<struct<bucket: int, at: binary>>, parts array<struct<bucket: int, sizes: binary, words: binary>>"
+    chunks = work.bucketed(docs.mapInArrow(_split(tokenizer_path, buckets), schema), "chunk", buckets)
     parts = chunks.select("chunk", F.explode("parts").alias("part")).select("chunk", "part.*")
-    coded = parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode(tokenizer_path), "chunk long, at binary, counts binary, ids binary")
-    texts = chunks.select("chunk", "doc_ids", "lengths", "places")
+    coded = parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode(tokenizer_path), "chunk long, bucket int, counts binary, ids binary")
+    texts = chunks.select("chunk", "doc_ids", "lengths", "places", "orders")
     return texts.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(_assemble(tokenizer_path), "doc_id long, n_tokens long, ids binary, decoded string")

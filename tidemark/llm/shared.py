@@ -43,6 +43,7 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_root(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
         self._made: dict[int, str] = {}
+        self._tables: list[str] = []
         atexit.register(self._end)
 
     def folder(self, name: str) -> str:
@@ -55,6 +56,13 @@ class Workspace:
         self._made[id(out)] = path
         return out
 
+    def bucketed(self, df: DataFrame, key: str, buckets: int) -> DataFrame:
+        """Cut by a table that is dealt by `key` already, so that what meets it by that key shuffles the other side only."""
+        name = f"tidemark_{uuid.uuid4().hex}"
+        df.write.bucketBy(buckets, key).option("path", self.folder(name)).saveAsTable(name)
+        self._tables.append(name)
+        return self.spark.table(name)
+
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
             if path := self._made.pop(id(df), None):
@@ -63,6 +71,8 @@ class Workspace:
     def _end(self) -> None:
         try:
             if self.spark.sparkContext._jsc is not None:
+                for name in self._tables:
+                    self.spark.sql(f"DROP TABLE IF EXISTS {name}")
                 delete(self.spark, self.path)
         except Exception:  # the session ended first; the folder is the cluster's to clear
             pass
