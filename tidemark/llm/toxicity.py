@@ -207,7 +207,7 @@ class _Hits(dict):
         return hit
 
 
-def _scores(model: Model, at: int) -> object:
+def _scores(model: Model, at: int, made: str) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = _Hits({f: k for k, f in enumerate(model.weights)})
         weights = list(model.weights.values())
@@ -222,7 +222,7 @@ def _scores(model: Model, at: int) -> object:
                         found.update(hit)
                 out.append(model.bias + sum(weights[k] for k in sorted(found)))
             score = 1 / (1 + np.exp(-np.clip(np.array(out, np.float64), -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "score_of_text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, made])
 
     return run
 
@@ -233,6 +233,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     Null and empty texts get the score of no evidence. Rows, nulls, repeats and other columns
     stay; a column called `name` is replaced. Scoring needs no shuffle.
     """
-    kept = docs.drop(name, "score_of_text")
-    schema = StructType([*kept.schema.fields, StructField("score_of_text", DoubleType())])
-    return kept.mapInArrow(_scores(model, kept.columns.index("text")), schema).withColumnRenamed("score_of_text", name)
+    kept = docs.drop(name)
+    made = next(n for k in range(len(kept.columns) + 1) if (n := f"score_{k}") not in kept.columns)
+    schema = StructType([*kept.schema.fields, StructField(made, DoubleType())])
+    return kept.mapInArrow(_scores(model, kept.columns.index("text"), made), schema).withColumnRenamed(made, name)
