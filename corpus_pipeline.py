@@ -16,7 +16,8 @@ from tidemark.llm.shared import BROADCAST_ROWS, Workspace, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows scored below 0.5; null and empty texts stay. The model learns from the labelled rows among docs."""
     model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, "toxicity_score").where("toxicity_score < 0.5").select(docs.columns)
+    name = next(n for k in range(len(docs.columns) + 1) if (n := f"toxicity_{k}") not in docs.columns)
+    return toxicity.score(docs, model, name).where(f"{name} < 0.5").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
