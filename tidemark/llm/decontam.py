@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.textkernel import _LANES, NON_ALNUM, mix, text_slices, words
 
 #: Word positions that a seed compares; it ignores the others within its span. Together they hit every window of 15 aligned
-#: words with at most 3 substitutions, and every one of 10 to 14 with at most 2 (a test tries all of them).
-MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 4, 5))
+#: words with at most 3 substitutions, of 10 to 14 with at most 2, of 8 and 9 with at most 1 (a test tries all of them).
+MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 4, 5), (0, 1, 4, 6, 7))
 #: A passage is an aligned window of WINDOW words (or the whole item, if shorter) of which at least 80 % agree.
 WINDOW = 15
 #: Shorter items are no evidence.
