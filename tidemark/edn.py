@@ -125,7 +125,7 @@ class _Reader:
                 return frozenset(freeze(x) for x in items)
             if len(items) % 2:
                 raise ValueError("a map needs as many values as keys")
-            return Pairs((k if not isinstance(k, (list, dict)) else freeze(k), v) for k, v in zip(items[::2], items[1::2], strict=True))
+            return Pairs((freeze(k) if isinstance(k, (list, dict, Call)) else k, v) for k, v in zip(items[::2], items[1::2], strict=True))
         if kind == "discard":
             self.form()
             return self.form()

@@ -284,7 +284,7 @@ def resolve(name: str, allowed: set[str] | None, extra: dict[str, Callable]) ->
     """The function of that name. allowed: what a configured list lets pass, besides the default ones; None lets all pass."""
     short = name.rsplit("/", 1)[-1] if len(name) > 1 else name
     if name in extra:
-        if allowed is not None and name not in allowed and not any(name.startswith(f"{n}/") for n in allowed):
+        if allowed is not None and "/" in name and name not in allowed and not any(name.startswith(f"{n}/") for n in allowed):
             raise ValueError(f"function {name} is not on the allow-list")
         return extra[name]
     if short in REFUSED:

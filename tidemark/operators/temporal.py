@@ -55,7 +55,8 @@ def fold_put(existing: list[tuple], start: datetime, end: datetime | None, tt: d
     """The versions (vt, tt, tx_id, content) that a put (or, with content None, a delete) adds to one entity's.
 
     With an end the new content holds from start to end, and what held at the end is restored
-    there. Without, it holds to the end of the version that was visible at start.
+    there (a deletion, if nothing did). Without, it holds to the end of the version that was
+    visible at start, or to the next version if none was.
     """
 
     def visible(at: datetime) -> tuple | None:
@@ -68,11 +69,11 @@ def fold_put(existing: list[tuple], start: datetime, end: datetime | None, tt: d
         inner = sorted({v[0] for v in existing if start < v[0] < end})
         out = [(t, tt, tx_id, content) for t in [start, *inner]]
         after = visible(end)
-        out.append((end, after[1], after[2], after[3]) if after and after[3] is not None else (end, tt, tx_id, None))
+        out.append((end, *after[1:]) if after else (end, tt, tx_id, None))
         return out
     before = visible(start)
     out = [(start, tt, tx_id, content)]
-    if before is not None:
+    if before is not None and before[3] is not None:
         for t in sorted({v[0] for v in existing if v[0] > start}):
             here = visible(t)
             if here is None or here[1:] != before[1:]:

@@ -21,7 +21,7 @@ def analyze(text: Column) -> Column:
 
 
 def index(catalog: Catalog, attribute: str | None = None) -> DataFrame:
-    """(attr, e, v, term, tf, size) of every string attribute, or of one."""
+    """(attr, e, v, term, tf, size) of every string attribute, or of one; keywords (`:name`) are no text."""
     out = None
     for table in catalog.tables.values():
         if table.eid is None:
@@ -33,7 +33,7 @@ def index(catalog: Catalog, attribute: str | None = None) -> DataFrame:
             if kind not in ("string", "array<string>"):
                 continue
             value = F.explode(F.array_distinct(column)) if kind.startswith("array") else F.col(column)
-            facts = table.df.select(F.lit(name).alias("attr"), F.col(table.eid).cast("string").alias("e"), value.alias("v")).where("v IS NOT NULL")
+            facts = table.df.select(F.lit(name).alias("attr"), F.col(table.eid).cast("string").alias("e"), value.alias("v")).where("v NOT LIKE ':%'")
             out = facts if out is None else out.unionByName(facts)
     if out is None:
         raise ValueError(f"no text attribute {attribute or ''}")

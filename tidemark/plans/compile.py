@@ -345,16 +345,27 @@ class Compiler:
         return self._bind(df, c(value), x.binding)
 
     def _range(self, op: str, args: list, df: DataFrame) -> Column:
-        """Values of different kinds never compare."""
+        """A comparison that scans can take; values of different kinds never compare."""
         a, b = (self._arg(x, df) for x in args)
-        for x, y, other in ((args[0], args[1], b), (args[1], args[0], a)):
-            if is_var(x) and not is_var(y) and not isinstance(y, Call) and not _matches(other, df.schema[x.name].dataType):
+        kinds = [df.schema[x.name].dataType if is_var(x) else None for x in args]
+        for k, other in ((0, b), (1, a)):
+            if kinds[k] is not None and kinds[1 - k] is None and not isinstance(other, Column) and not _matches(other, kinds[k]):
                 return F.lit(False)
-        if all(is_var(x) for x in args):
-            kinds = [_family(df.schema[x.name].dataType) for x in args]
-            if kinds[0] != kinds[1] and "any" not in kinds:
+        if all(k is not None for k in kinds):
+            families = [_family(k) for k in kinds]
+            if families[0] != families[1] and "any" not in families:
                 return F.lit(False)
-        return F.coalesce(RANGE_OPS[op](c(a), c(b)), F.lit(False))
+        a, b = self._day(a, kinds[1]), self._day(b, kinds[0])
+        return RANGE_OPS[op](c(a), c(b))
+
+    @staticmethod
+    def _day(value: object, other: T.DataType | None) -> object:
+        """A literal midnight as a date beside a date column, which then needs no cast."""
+        if isinstance(other, T.DateType) and isinstance(value, dt.datetime):
+            plain = value.astimezone(dt.timezone.utc).replace(tzinfo=None) if value.tzinfo else value
+            if plain.time() == dt.time(0):
+                return plain.date()
+        return value
 
     def _unify(self, op: str, args: list, df: DataFrame) -> Column:
         def values(x: object) -> Column | list:
@@ -499,7 +510,7 @@ class Compiler:
         if name in ("==", "!="):
             return self._unify(name, y.args, df)
         if name in RANGE_OPS and len(y.args) == 2:
-            return self._range(name, y.args, df)
+            return F.coalesce(self._range(name, y.args, df), F.lit(False))
         return self._test(c(self.call(y.fn, y.args, df)), df)
 
     @staticmethod

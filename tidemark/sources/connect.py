@@ -35,7 +35,8 @@ def as_text(result: DataFrame, kind: str) -> DataFrame:
         head = result.sparkSession.createDataFrame([(sep.join(result.columns),)], "value string")
         return head.union(result.select(F.concat_ws(sep, *quoted).alias("value")))
     if kind == "edn":
-        return result.select(F.concat(F.lit("["), F.concat_ws(" ", *[F.coalesce(F.when(F.lit(t == "string"), F.concat(F.lit('"'), F.replace(cell(c), F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise(F.col(f"`{c}`").cast("string")), F.lit("nil")) for c, t in result.dtypes]), F.lit("]")).alias("value"))
+        quoted = {c: F.concat(F.lit('"'), F.replace(cell(c), F.lit('"'), F.lit('\\"')), F.lit('"')) if t == "string" else cell(c) for c, t in result.dtypes}
+        return result.select(F.concat(F.lit("["), F.concat_ws(" ", *[F.when(F.col(f"`{c}`").isNull(), "nil").otherwise(q) for c, q in quoted.items()]), F.lit("]")).alias("value"))
     if kind == "html":
         return result.select(F.concat(F.lit("<tr>"), F.concat_ws("", *[F.concat(F.lit("<td>"), cell(c), F.lit("</td>")) for c in result.columns]), F.lit("</tr>")).alias("value"))
     raise ValueError(f"unknown format {kind}")
