@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import Workspace
+from tidemark.llm.shared import Workspace, over
 
 #: Vectors, at most, that rotation and radius are fitted on.
 SAMPLE_ROWS = 6000
@@ -139,13 +139,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     spark = vectors.sparkSession
     work = Workspace(spark, "ann")
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    base = work.cut(pick(vectors).mapInArrow(_usable("vec_id"), "vec_id long, vector binary, size int"), "vectors")
+    base = work.cut(over(pick(vectors), _usable("vec_id"), "vec_id long, vector binary, size int"), "vectors")
     schema = "query_id long, vec_id long, score double"
     sizes = base.groupBy("size").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "size").first()
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     base = base.where(F.col("size") == sizes["size"])
-    asked = pick(queries).mapInArrow(_usable("query_id"), "query_id long, vector binary, size int").where(F.col("size") == sizes["size"])
+    asked = over(pick(queries), _usable("query_id"), "query_id long, vector binary, size int").where(F.col("size") == sizes["size"])
     part = min(1.0, SAMPLE_ROWS / sizes["c"])
     sample = base.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < part * (1 << 30)).limit(2 * SAMPLE_ROWS).select("vector").collect()
     fitted = fit(np.stack([np.frombuffer(r["vector"], np.float64) for r in sample]) if sample else np.ones((1, sizes["size"])), k)

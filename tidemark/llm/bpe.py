@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import Workspace
+from tidemark.llm.shared import Workspace, give_back, over
 
 #: Text characters of a chunk; its distinct words and positions are one row.
 CHUNK_CHARS = 8 << 20
@@ -195,6 +195,8 @@ def _assemble(path: str) -> object:
                     texts.append(b"".join([decoded[k] for k in here]).decode("utf-8", "replace"))
                 columns = [row["doc_ids"][start : start + ROWS], [len(x) // 4 for x in ids], ids, texts]
                 out.append(pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _OUT, strict=True)], schema=_OUT))
+        del encoded, decoded
+        give_back()
         return pa.Table.from_batches(out, _OUT)
 
     return run
@@ -219,8 +221,8 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "chunk long, doc_ids array<long>, lengths binary, places binary, orders array<struct<bucket: int, at: binary>>, parts array<struct<bucket: int, sizes: binary, words: binary>>"
-    chunks = work.bucketed(docs.mapInArrow(_split(tokenizer_path, buckets), schema), "chunk", buckets)
+    chunks = work.bucketed(over(docs, _split(tokenizer_path, buckets), schema), "chunk", buckets)
     parts = chunks.select("chunk", F.explode("parts").alias("part")).select("chunk", "part.*")
-    coded = parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode(tokenizer_path), "chunk long, bucket int, counts binary, ids binary")
+    coded = over(parts.repartition("bucket").sortWithinPartitions("bucket"), _encode(tokenizer_path), "chunk long, bucket int, counts binary, ids binary")
     texts = chunks.select("chunk", "doc_ids", "lengths", "places", "orders")
     return texts.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(_assemble(tokenizer_path), "doc_id long, n_tokens long, ids binary, decoded string")

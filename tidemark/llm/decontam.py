@@ -10,6 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import over
 from tidemark.llm.textkernel import _LANES, NON_ALNUM, mix, text_slices, words
 
 #: Word positions that a seed compares; it ignores the others within its span. Together they hit every window of 15 aligned
@@ -167,7 +168,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     schema = ", ".join(f"{f.name} long" for f in _FOUND)
     out = None
     for index in _indexes(benchmark):
-        found = rows.mapInArrow(_find(index), schema)
+        found = over(rows, _find(index), schema)
         out = found if out is None else out.union(found)
     return out
 
@@ -175,5 +176,5 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without the rows that hold a passage of the benchmark (see contaminations); all columns stay. No shuffle."""
     for index in _indexes(benchmark):
-        docs = docs.mapInArrow(_drop(index, docs.columns.index(text_col)), docs.schema)
+        docs = over(docs, _drop(index, docs.columns.index(text_col)), docs.schema)
     return docs

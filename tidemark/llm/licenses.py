@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import over
 from tidemark.llm.textkernel import NON_ALNUM, mix, text_slices, words
 
 #: A unit (a line, a block of lines between empty ones, or the whole text) matches a template at this Dice coefficient.
@@ -148,4 +149,4 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
     come. Empty tables: no rows. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_scan(templates, threshold), "doc_id long, n_bigrams long, license string, dice double, unit string, first_byte long, end_byte long")
+    return over(rows, _scan(templates, threshold), "doc_id long, n_bigrams long, license string, dice double, unit string, first_byte long, end_byte long")

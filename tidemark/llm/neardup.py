@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.shared import Workspace, only
+from tidemark.llm.shared import Workspace, only, over
 from tidemark.llm.textkernel import SPACE, distinct, mix, shingles, text_slices, words
 
 SHINGLE = 5
@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     work = Workspace(spark, "neardup")
     docs = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    marks = work.cut(docs.mapInArrow(_signatures, "node long, n long, print_a long, print_b long, halves array<long>"), "marks")
+    marks = work.cut(over(docs, _signatures, "node long, n long, print_a long, print_b long, halves array<long>"), "marks")
     full = marks.where("n > 0 AND node IS NOT NULL")
     prints = ["print_a", "print_b", "n"]
     classes = work.cut(full.groupBy(*prints).agg(F.min("node").alias("rep"), F.first("halves").alias("halves")), "classes")
@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = work.cut(placed, "placed")
     mixed = placed.groupBy("half").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("half", "c")
     rest = work.cut(placed.join(mixed, "half"), "rest")
-    sets = only(docs, rest.select("node").distinct(), "node").mapInArrow(_whole_sets(np.uint32), "node long, n long, items binary")
+    sets = over(only(docs, rest.select("node").distinct(), "node"), _whole_sets(np.uint32), "node long, n long, items binary")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     rest = rest.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rest = rest.select(
@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
     )
     joined = rest.join(sets, "node").select("half", "lo", "hi", "node", "part", "side", "n", "items")
-    found = joined.repartition("half", "lo", "hi").sortWithinPartitions("half", "lo", "hi").mapInArrow(_across(percent), "a long, b long")
+    found = over(joined.repartition("half", "lo", "hi").sortWithinPartitions("half", "lo", "hi"), _across(percent), "a long, b long")
     more = _verified(docs, work.cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "found"), work, percent)
     linked = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
     final = connected_components(linked, work)
@@ -238,11 +238,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _verified(docs: DataFrame, pairs: DataFrame, work: Workspace, percent: int) -> DataFrame:
     """Pairs (a, b) whose whole shingle sets are similar enough, in a table."""
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = only(docs, ids, "node").mapInArrow(_whole_sets(np.uint64), "node long, n long, items binary")
+    sets = over(only(docs, ids, "node"), _whole_sets(np.uint64), "node long, n long, items binary")
     sets = work.cut(sets.where("n > 0"), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "items_a", "items_b")
-    links = work.cut(joined.mapInArrow(_confirm(percent), "a long, b long").distinct(), "links")
+    links = work.cut(over(joined, _confirm(percent), "a long, b long").distinct(), "links")
     work.drop(sets, pairs)
     return links

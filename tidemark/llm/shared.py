@@ -1,20 +1,61 @@
-"""What the operators share: tables in the cluster's shared folder and size-checked broadcasts."""
+"""What the operators share: tables in the cluster's shared folder, size-checked broadcasts, and Python tasks that hold little memory."""
 
 from __future__ import annotations
 
 import atexit
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import cache, wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of one or two integer columns that may be broadcast; the count is measured first.
 BROADCAST_ROWS = 400_000
 
+#: Bytes of a batch between Spark and Python.
+BATCH_BYTES = 8 << 20
+
 _own_root: str | None = None
 
 
+@cache
+def _libc() -> ctypes.CDLL | None:
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system: a worker that is kept for later tasks keeps nothing of this one."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
+def over(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow in batches of at most BATCH_BYTES."""
+    conf = df.sparkSession.conf
+    if int(re.sub(r"\D", "", conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20)))) > BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Where it is unset and everything runs in one process, a temporary folder; an error on a cluster."""
     global _own_root

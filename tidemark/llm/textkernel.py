@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes that are expanded to arrays at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(1, 2**64, 256, dtype=np.uint64)

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from tidemark.llm.shared import over
+
 #: Labelled rows, at most, that anything is learnt from; of either class half.
 SAMPLE_ROWS = 20_000
 #: Words and stems, at most, that the classifier knows.
@@ -24,6 +26,8 @@ SUPPORT, EVIDENCE = 4, 18.0
 #: ... and a mined voter right so often.
 PRECISION = 0.8
 
+#: Distinct words that a task keeps with their features before it starts anew.
+WORDS_KEPT = 150_000
 #: How often a label is right, as the label model takes it.
 LABEL_ACCURACY = 0.95
 
@@ -172,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     sample = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < bound * (1 << 30))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "label")
     totals = rows.groupBy("label").agg(F.count("*").alias("c"))
-    counts = rows.mapInArrow(_counts, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") + F.col("neg") >= SUPPORT)
+    counts = over(rows, _counts, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") + F.col("neg") >= SUPPORT)
     seen = {r["label"]: r["c"] for r in totals.collect()}
     if len(seen) < 2:
         return Model({}, -2.0, [], np.zeros((0, 0)))
@@ -183,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     vocabulary = {f: k for k, f in enumerate(best["feature"])}
     share = (best["pos"] / seen[1]) / (best["pos"] / seen[1] + best["neg"] / seen[0])
     voters = [k for k in range(len(best)) if share[k] >= PRECISION or ":" in best["feature"][k]][:VOTERS]
-    got = rows.mapInArrow(_vectors(vocabulary), "label int, known array<int>").toPandas()
+    got = over(rows, _vectors(vocabulary), "label int, known array<int>").toPandas()
     known = [np.asarray(k, np.int32) for k in got["known"]]
     place = {k: j for j, k in enumerate(voters)}
     votes = np.zeros((len(known), len(voters)))
@@ -201,7 +205,7 @@ class _Hits(dict):
         self.known = known
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 400_000:
+        if len(self) > WORDS_KEPT:
             self.clear()
         self[word] = hit = tuple(self.known[f] for f in word_features(word) if f in self.known)
         return hit
@@ -236,4 +240,4 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     kept = docs.drop(name)
     made = next(n for k in range(len(kept.columns) + 1) if (n := f"score_{k}") not in kept.columns)
     schema = StructType([*kept.schema.fields, StructField(made, DoubleType())])
-    return kept.mapInArrow(_scores(model, kept.columns.index("text"), made), schema).withColumnRenamed(made, name)
+    return over(kept, _scores(model, kept.columns.index("text"), made), schema).withColumnRenamed(made, name)

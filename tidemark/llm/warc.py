@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import Workspace, only
+from tidemark.llm.shared import Workspace, only, over
 
 #: Compressed bytes after which a file is closed; one record may exceed it.
 ROLL_BYTES = 16 << 20
@@ -163,7 +163,7 @@ def write_archives(pages: DataFrame, path: str, roll: int = ROLL_BYTES, id_col:
     both = marks.unionByName(rows.withColumn("refers_to", F.lit(None).cast("long")).withColumn("kind", F.lit(1)))
     order = F.col("page_id").asc_nulls_last()
     sorted_rows = both.repartitionByRange(order).sortWithinPartitions(order, "kind", "sha", "url")
-    manifest = sorted_rows.select("page_id", "url", "html", "sha", "refers_to", "kind").mapInArrow(_write(path, roll), "name string, records long, bytes long, first_page long")
+    manifest = over(sorted_rows.select("page_id", "url", "html", "sha", "refers_to", "kind"), _write(path, roll), "name string, records long, bytes long, first_page long")
     manifest.write.parquet(f"{path}/_manifest")
     return spark.read.parquet(f"{path}/_manifest")
 
@@ -190,7 +190,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records of the files in the manifest, digests checked: page_id, url, payload (null for revisits), payload_bytes, payload_digest, record_type, refers_to."""
     manifest = spark.read.parquet(f"{path}/_manifest").select("name")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.gz").load(path).select("content", F.element_at(F.split("path", "/"), -1).alias("name"))
-    return only(files, manifest, "name").select("content").mapInArrow(_read, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return over(only(files, manifest, "name").select("content"), _read, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
