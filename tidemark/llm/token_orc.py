@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import over
 from tidemark.llm.bpe import tokenizer
 
-#: Distinct words that a worker keeps with their ids; then it starts anew.
-WORDS_KEPT = 300_000
+#: Distinct words, and parts of words, that a worker keeps with their ids before it starts anew.
+WORDS_KEPT = 600_000
 #: ORC: integers of lists and counts are run-length encoded by the format itself.
 OPTIONS = {
     "orc.compress": "ZSTD", "orc.stripe.size": str(16 << 20), "orc.create.index": "true", "orc.row.index.stride": "1000",
@@ -25,30 +26,72 @@ OPTIONS = {
 #: Characters that str.split() takes for white space and the tokenizer doesn't.
 _CONTROLS = re.compile("[\x1c-\x1f]")
 
-_known: dict[str, dict[str, bytes]] = {}
+#: Words of printable ASCII and Latin letters: these alone are normalised, split and mapped to bytes here, and only the merges left to the library's model.
+_PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
 
 
-def _encode(path: str, end_id: int) -> object:
-    """Words between white space are encoded once while they are kept: the tokenizer drops white space and no token spans it."""
+class _Kept(dict):
+    """Values by key, made when first asked for."""
+
+    def __init__(self, make: object) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        self[key] = value = self.make(key)
+        return value
+
+
+class WordEncoder:
+    """Ids of words between white space, as little-endian 32-bit integers: the tokenizer drops white space and no token spans it."""
+
+    def __init__(self, path: str) -> None:
+        self.tokenizer = tokenizer(path)
+        self.model = self.tokenizer.model
+        self.parts = _Kept(self._part)
+        self.words = _Kept(self._word)
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.char = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+
+    def _part(self, part: str) -> bytes:
+        if not part.isascii():
+            part = "".join([self.char[b] for b in part.encode()])
+        ids = [t.id for t in self.model.tokenize(part)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _word(self, word: str) -> bytes:
+        if _PLAIN.fullmatch(word) and "<|" not in word:
+            lower = word.lower()
+            return self.parts[lower] if lower.isalpha() else b"".join(map(self.parts.__getitem__, _PARTS.findall(lower)))
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def text(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, [text] if _CONTROLS.search(text) else text.split()))
+
+    def trim(self) -> None:
+        """Start a cache anew that holds more than WORDS_KEPT."""
+        for kept in (self.parts, self.words):
+            if len(kept) > WORDS_KEPT:
+                kept.clear()
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def _encode(path: str, end_id: int) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known, end, start = tokenizer(path), _known.setdefault(path, {}), struct.pack("<I", end_id), 0
+        encoder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
+        end, start = struct.pack("<I", end_id), 0
         for batch in batches:
             for row in range(0, len(batch), 512):
-                docs, texts = batch.column(0).slice(row, 512), [t or "" for t in batch.column(1).slice(row, 512).to_pylist()]
-                if len(known) > WORDS_KEPT:
-                    known.clear()
-                split = [[t] if _CONTROLS.search(t) else t.split() for t in texts]
-                new = list({w for words in split for w in words if w not in known})
-                for k in range(0, len(new), 4096):
-                    some = new[k : k + 4096]
-                    for word, got in zip(some, model.encode_batch(some, add_special_tokens=False), strict=True):
-                        known[word] = struct.pack(f"<{len(got.ids)}I", *got.ids)
-                blobs = [b"".join([known[w] for w in words]) + end for words in split]
+                blobs = [encoder.text(t or "") + end for t in batch.column(1).slice(row, 512).to_pylist()]
+                encoder.trim()
                 counts = np.array([len(b) // 4 for b in blobs], np.int64)
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(blobs), "<i4")))
-                yield pa.RecordBatch.from_arrays([docs, pa.array(start + ends[:-1]), pa.array(counts), ids], names=["doc_id", "start_in_file", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 512), pa.array(start + ends[:-1]), pa.array(counts), ids], names=["doc_id", "start_in_file", "n_tokens", "ids"])
                 start += int(ends[-1])
 
     return run
@@ -65,7 +108,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ranged = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    coded = ranged.mapInArrow(_encode(tokenizer_path, end_id), "doc_id long, start_in_file long, n_tokens long, ids array<int>")
+    coded = over(ranged, _encode(tokenizer_path, end_id), "doc_id long, start_in_file long, n_tokens long, ids array<int>")
     coded.write.options(**OPTIONS).orc(path)
 
 
@@ -89,5 +132,5 @@ def token_digest(tokens: DataFrame) -> DataFrame:
     totals = tokens.groupBy("file").agg(F.sum("n_tokens").alias("held"))
     before = totals.select("file", (F.sum("held").over(W.orderBy("file")) - F.col("held")).alias("base"))
     rows = tokens.select("file", "doc_id", "start_in_file", "n_tokens", "ids")
-    sums = rows.mapInArrow(_checksums, "file string, doc_id long, start_in_file long, n_tokens long, ids_crc32 long")
+    sums = over(rows, _checksums, "file string, doc_id long, start_in_file long, n_tokens long, ids_crc32 long")
     return sums.join(before, "file").select("doc_id", (F.col("base") + F.col("start_in_file")).alias("start"), "n_tokens", "ids_crc32")
