@@ -20,13 +20,14 @@ def connected_components(edges: DataFrame, work: Workspace) -> DataFrame:
     before = _state(links)
     while before[0]:
         both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(links.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # A table of its own: the join below then has two shuffled sides, and a node with very many links is split.
+        low = work.cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi")
         made = small.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(least.select("hi", F.col("m").alias("lo"))).distinct()
         made = work.cut(made, "edges")
-        work.drop(links)
+        work.drop(links, low)
         links, after = made, _state(made)
         if after == before:
             break

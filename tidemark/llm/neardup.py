@@ -193,15 +193,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = work.cut(full.groupBy(*prints).agg(F.min("node").alias("rep"), F.first("halves").alias("halves")), "classes")
 
     half = classes.select(F.col("rep").alias("node"), F.explode("halves").alias("half"))
-    common = half.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
+    # Such sums are tables of their own: joins with them have two shuffled sides, so hot keys are split, or broadcast what Spark finds small.
+    common = work.cut(half.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half"), "common")
     shared = half.join(common, "half")
     even = F.col("half").bitwiseAND(F.lit(1)) == 0
     sides = shared.groupBy("node").agg(F.collect_set(F.when(even, F.col("half"))).alias("us"), F.collect_set(F.when(~even, F.col("half"))).alias("vs"))
     sides = work.cut(sides.where("size(us) > 0 AND size(vs) > 0"), "sides")
     keyed = sides.select("node", F.explode("us").alias("u"), "vs").select("node", "u", F.explode("vs").alias("v")).select("node", F.xxhash64("u", "v").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("rep"), F.max("node").alias("most")).where("rep < most").select("key", "rep")
+    buckets = work.cut(keyed.groupBy("key").agg(F.min("node").alias("rep"), F.max("node").alias("most")).where("rep < most").select("key", "rep"), "buckets")
     star = keyed.join(buckets, "key").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
     links = _verified(docs, work.cut(star, "star"), work, percent)
+    work.drop(common, buckets)
 
     # Rows of one id whose texts are in different classes.
     member = full.select("node", *prints).join(classes.select(*prints, "rep"), prints).select("node", "n", "rep")
@@ -214,7 +216,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     placed = sides.select("node", F.explode("us").alias("half")).join(parts, "node", "left").select("node", "half", F.coalesce("component", "node").alias("part"))
     placed = work.cut(placed, "placed")
-    mixed = placed.groupBy("half").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("half", "c")
+    mixed = work.cut(placed.groupBy("half").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("half", "c"), "mixed")
     rest = work.cut(placed.join(mixed, "half"), "rest")
     sets = over(only(docs, rest.select("node").distinct(), "node"), _whole_sets(np.uint32), "node long, n long, items binary")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
