@@ -11,14 +11,15 @@ from tidemark.workspace import delete
 
 
 class TableStore:
-    """A folder of generations of one table; `current` names the last that is whole, so readers never see half of one."""
+    """A folder of generations of one table, each either an addition or a base that stands for all before it.
+
+    A generation counts once its pointer is there, so readers never see half of one. Orders are
+    batch or transaction numbers; a repeated write of the same one changes nothing.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _pointer(self) -> DataFrame:
-        return self.spark.read.text(f"{self.path}/_pointers/*")
-
     def _generations(self) -> list[str]:
         fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_pointers")
         fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
@@ -26,30 +27,37 @@ class TableStore:
             return []
         return sorted(s.getPath().getName() for s in fs.listStatus(fs_path))
 
-    def write(self, df: DataFrame, order: int, sort: list[str] | None = None) -> None:
-        """Add a generation; order (a batch or transaction number) makes a repeated write of the same one harmless."""
-        name = f"{order:020d}"
+    def _live(self, order: int | None = None) -> list[str]:
+        found = [g for g in self._generations() if order is None or int(g.split("-")[0]) <= order]
+        bases = [k for k, g in enumerate(found) if g.split("-")[1] == "base"]
+        return found[bases[-1] :] if bases else found
+
+    def write(self, df: DataFrame, order: int, sort: list[str] | None = None, base: bool = False) -> None:
+        kind = "base" if base else "add"
+        name = f"{order:020d}-{kind}-"
         if any(g.startswith(name) for g in self._generations()):
             return
-        folder = f"{name}-{uuid.uuid4().hex}"
+        folder = f"{name}{uuid.uuid4().hex}"
         (df.sortWithinPartitions(*sort) if sort else df).write.parquet(f"{self.path}/{folder}")
         fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_pointers/{folder}")
         fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(fs_path, False).close()
 
     def read(self, order: int | None = None) -> DataFrame | None:
-        """All rows appended up to an order."""
-        found = [g for g in self._generations() if order is None or int(g.split("-")[0]) <= order]
+        """All rows up to an order."""
+        found = self._live(order)
         return self.spark.read.parquet(*[f"{self.path}/{g}" for g in found]) if found else None
 
-    def latest(self) -> DataFrame | None:
-        """The last generation alone, for tables that are rewritten whole."""
+    def last_order(self) -> int | None:
         found = self._generations()
-        return self.spark.read.parquet(f"{self.path}/{found[-1]}") if found else None
-
-    def prune(self, keep: int = 1) -> None:
-        for g in self._generations()[:-keep]:
-            delete(self.spark, f"{self.path}/_pointers/{g}")
-            delete(self.spark, f"{self.path}/{g}")
+        return int(found[-1].split("-")[0]) if found else None
+
+    def prune(self) -> None:
+        """Delete what a base stands for."""
+        live = set(self._live())
+        for g in self._generations():
+            if g not in live:
+                delete(self.spark, f"{self.path}/_pointers/{g}")
+                delete(self.spark, f"{self.path}/{g}")
 
 
 def read_jdbc_log(spark: SparkSession, url: str, table: str = "tx_events", **options: str) -> DataFrame:

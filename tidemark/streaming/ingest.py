@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.operators.temporal import as_of, fold_put
+from tidemark.operators.temporal import as_of, fold_put, layout
 from tidemark.sources.stores import TableStore
 
 LOG = "tx_id bigint, tx_time timestamp, op_idx int, op string, eid string, vt timestamp, end_vt timestamp, doc string"
@@ -61,23 +61,41 @@ def documents_of(log: DataFrame) -> DataFrame:
 
 
 def evict(versions: DataFrame, log: DataFrame) -> DataFrame:
-    """versions without the evicted entities, in the past too."""
-    return versions.join(log.where("op = 'evict'").select("eid").distinct(), "eid", "left_anti")
+    """versions without those of evicted entities, in the past too, up to the eviction."""
+    gone = log.where("op = 'evict'").groupBy("eid").agg(F.max("tx_id").alias("gone"))
+    return versions.join(gone, "eid", "left").where("gone IS NULL OR tx_id > gone").drop("gone")
+
+
+def latest_versions(stored: DataFrame) -> DataFrame:
+    """Of each entity the versions that its last batch wrote; a batch that left none wrote a row without valid time."""
+    last = stored.groupBy("eid").agg(F.max("batch").alias("batch"))
+    return stored.join(last, ["eid", "batch"]).where("vt IS NOT NULL").drop("batch")
 
 
 class LogIngest:
-    """A stream of log files folded into tables under a path, a micro-batch at a time; a batch that runs again changes nothing."""
+    """A stream of log files folded into tables under a path, a micro-batch at a time; a batch that runs again changes nothing.
+
+    A batch reads and writes the entities that it touches only: it adds all their versions anew,
+    and readers take each entity's last batch. compact() makes one base of all.
+    """
 
     def __init__(self, spark: SparkSession, path: str, listeners: list[Callable[[dict], None]] | None = None) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-        self.versions, self.documents, self.transactions = (TableStore(spark, f"{self.path}/{n}") for n in ("versions", "documents", "transactions"))
+        self.stored, self.documents, self.transactions = (TableStore(spark, f"{self.path}/{n}") for n in ("versions", "documents", "transactions"))
         self.listeners = listeners or []
 
+    def versions(self) -> DataFrame:
+        stored = self.stored.read()
+        return latest_versions(stored) if stored is not None else self.spark.createDataFrame([], VERSIONS)
+
     def batch(self, log: DataFrame, batch_id: int) -> None:
         log = log.persist()
         try:
-            folded = evict(fold_log(log, self.versions.latest()), log)
-            self.versions.write(folded, batch_id, ["eid", "vt", "tx_id"])
+            touched = log.select("eid").distinct()
+            held = self.versions().join(touched, "eid", "left_semi")
+            folded = evict(fold_log(log, held), log).select("eid", "vt", "tt", "tx_id", "content_hash")
+            bare = touched.select("eid", *[F.lit(None).cast(t).alias(n) for n, t in (("vt", "timestamp"), ("tt", "timestamp"), ("tx_id", "bigint"), ("content_hash", "string"))])
+            self.stored.write(folded.unionByName(bare).withColumn("batch", F.lit(batch_id).cast("long")), batch_id, ["eid", "vt", "tx_id"])
             self.documents.write(documents_of(log), batch_id)
             self.transactions.write(log.groupBy("tx_id").agg(F.min("tx_time").alias("tx_time"), F.count("*").alias("ops")), batch_id)
             last = log.agg(F.max("tx_id"), F.max("tx_time")).first()
@@ -86,6 +104,14 @@ class LogIngest:
         for fn in self.listeners:
             fn({"event": "indexed-tx", "batch": batch_id, "tx_id": last[0], "tx_time": last[1]})
 
+    def compact(self) -> None:
+        """One base of the current versions, in ranges of eid; what it replaces goes, evicted entities with it."""
+        order = self.stored.last_order()
+        if order is not None:
+            whole = layout(self.versions().withColumn("batch", F.lit(order).cast("long")))
+            self.stored.write(whole, order, base=True)
+            self.stored.prune()
+
     def start(self, source: str, available_now: bool = False, trigger: str = "5 seconds") -> StreamingQuery:
         """Tail the Parquet log files in a folder, from where the checkpoint says."""
         stream = self.spark.readStream.schema(LOG).parquet(source)
@@ -98,5 +124,5 @@ class LogIngest:
 
     def current(self, valid_time: object = None, tx_id: int | None = None) -> DataFrame:
         """(eid, doc) as of a basis."""
-        alive = as_of(self.versions.latest(), valid_time, tx_id, payload=["content_hash"], alive="content_hash")
+        alive = as_of(self.versions(), valid_time, tx_id, payload=["content_hash"], alive="content_hash")
         return alive.join(self.documents.read().select("content_hash", "doc").dropDuplicates(["content_hash"]), "content_hash").select("eid", "vt", "tx_id", "doc")
