@@ -538,3 +538,76 @@ def subq_max(spark: SparkSession, d: str) -> DataFrame:
       {:find [s name t] :keys [s_suppkey s_name total]
        :where [[(q {:find [k (sum r)] :where [[l :l_suppkey k] [l :l_extendedprice p] [l :l_discount disc] [l :l_shipdate ship] [(>= ship #inst "1998-01-01")] [(< ship #inst "1998-04-01")] [(- 1 disc) keep] [(* p keep) r]]
                     :order-by [[(sum r) :desc]] :limit 1}) [[s t]]] [s :s_name name]]}""").select("s_suppkey", "s_name", money("total"))
+
+
+@register("SELECT c_custkey, round(c_acctbal, 2) AS c_acctbal FROM customer WHERE c_mktsegment = 'AUTOMOBILE' AND c_acctbal >= 1000 AND c_nationkey < 12")
+def in_tuple_scalar(spark: SparkSession, d: str) -> DataFrame:
+    out = database(spark, d, "customer").df("{:find [c b] :keys [c_custkey c_acctbal] :in [$ [seg least] most] :where [[c :c_mktsegment seg] [c :c_acctbal b] [c :c_nationkey n] [(>= b least)] [(< n most)]]}", ("AUTOMOBILE", 1000), 12)
+    return out.select("c_custkey", money("c_acctbal"))
+
+
+@register("SELECT n, f FROM (VALUES (1, 1), (5, 5), (10, 55), (15, 610)) v(n, f)")
+def rule_demand(spark: SparkSession, d: str) -> DataFrame:
+    """Computed recursion: the arguments asked for are found first."""
+    out = database(spark, d, "region").df("""
+      {:find [n f] :in [[n ...]] :where [(fib n f)]
+       :rules [[(fib [n] f) [(<= n 1)] [(identity n) f]] [(fib [n] f) [(> n 1)] [(- n 1) a] [(- n 2) b] (fib a x) (fib b y) [(+ x y) f]]]}""", [1, 5, 10, 15])
+    return out.select(F.col("n").cast("int").alias("n"), F.col("f").cast("int").alias("f"))
+
+
+@register("SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity >= 50 AND l_returnflag = 'R')")
+def subq_exists(spark: SparkSession, d: str) -> DataFrame:
+    return database(spark, d, "supplier", "lineitem").df("""
+      {:find [s] :keys [s_suppkey] :where [[s :s_name] [(q {:find [l] :in [s] :where [[x :l_suppkey s] [x :l_quantity l] [x :l_returnflag "R"] [(>= l 50)]]} s)]]}""")
+
+
+@register("SELECT o_custkey, o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY orders.o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 2")
+def subq_top_per_key(spark: SparkSession, d: str) -> DataFrame:
+    """A correlated sub-query that orders and limits: the limit holds for each outer value."""
+    return database(spark, d, "orders", "customer").df("""
+      {:find [c o t] :keys [o_custkey o_orderkey o_totalprice]
+       :where [[c :c_name] [(q {:find [x p] :in [c] :where [[x :o_custkey c] [x :o_totalprice p]] :order-by [[p :desc] [x :asc]] :limit 2} c) [[o t]]]]}""").select("o_custkey", "o_orderkey", money("o_totalprice"))
+
+
+@register("SELECT l_returnflag, round(sum(l_quantity * l_quantity), 2) AS squares FROM lineitem GROUP BY l_returnflag")
+def agg_custom(spark: SparkSession, d: str) -> DataFrame:
+    """An aggregate of the user's own."""
+    db = database(spark, d, "lineitem")
+    db.aggregates["sum-of-squares"] = lambda x: F.sum(x * x)
+    return db.df("{:find [f (sum-of-squares q)] :keys [l_returnflag squares] :where [[l :l_returnflag f] [l :l_quantity q]]}").select("l_returnflag", money("squares"))
+
+
+@register("SELECT p_partkey, 'B-' || substr(p_brand, 7) AS code FROM part WHERE p_size >= 10 AND p_size <= 12")
+def udf_scalar(spark: SparkSession, d: str) -> DataFrame:
+    """A function of the user's own, by name and on the allow-list."""
+    db = database(spark, d, "part")
+    db.functions["shop/code"] = lambda brand: F.concat(F.lit("B-"), F.substring(brand, 7, 100))
+    db.allowed = {"shop"}
+    return db.df("{:find [p code] :keys [p_partkey code] :where [[p :p_brand b] [p :p_size z] [(<= 10 z 12)] [(shop/code b) code]]}")
+
+
+@register("SELECT c_nationkey AS n FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT s_nationkey FROM supplier EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 0")
+def set_operations(spark: SparkSession, d: str) -> DataFrame:
+    return database(spark, d, "customer", "supplier", "nation").df("""
+      {:find [n] :where [[c :c_nationkey n] [c :c_acctbal b] [(> b 9000)] [s :s_nationkey n] (not [n :n_regionkey 0])]}""")
+
+
+@register("SELECT user_id, count(*) AS n, CAST(floor(max(CAST(json_extract(props, '$.k') AS DOUBLE))) AS BIGINT) AS most FROM events WHERE event_type = 'click' GROUP BY user_id")
+def json_values(spark: SparkSession, d: str) -> DataFrame:
+    """Values inside JSON text, by a registered function."""
+    db = database(spark, d, "events")
+    db.functions["json/long"] = lambda text, path: F.get_json_object(text, path).cast("long")
+    return db.df('{:find [u (count e) (max k)] :keys [user_id n most] :where [[e :event_type "click"] [e :user_id u] [e :props p] [(json/long p "$.k") k]]}')
+
+
+@register("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL")
+def stream_hours(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly windows over the events as a stream, read to its end into a table."""
+    root = f"{shared_root(spark)}/tidemark/hours-{uuid.uuid4().hex}"
+    events = spark.read.parquet(f"{d}/events.parquet")
+    events.select("ts", "event_type", "value").write.parquet(f"{root}/in")
+    stream = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(f"{root}/in")
+    hours = stream.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    query = hours.writeStream.outputMode("complete").foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{root}/out")).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{root}/out").select(F.col("window.start").alias("start"), "event_type", "n", money("total", 3))
