@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import over
 from tidemark.llm.bpe import tokenizer
 
-#: Distinct words, and parts of words, that a worker keeps with their ids before it starts anew.
-WORDS_KEPT = 600_000
+#: Distinct words and parts of words that a worker keeps with their ids before it starts anew.
+WORDS_KEPT = 900_000
 #: ORC: integers of lists and counts are run-length encoded by the format itself.
 OPTIONS = {
     "orc.compress": "ZSTD", "orc.stripe.size": str(16 << 20), "orc.create.index": "true", "orc.row.index.stride": "1000",
@@ -49,7 +49,6 @@ class WordEncoder:
     def __init__(self, path: str) -> None:
         self.tokenizer = tokenizer(path)
         self.model = self.tokenizer.model
-        self.parts = _Kept(self._part)
         self.words = _Kept(self._word)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.char = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
@@ -63,7 +62,9 @@ class WordEncoder:
     def _word(self, word: str) -> bytes:
         if _PLAIN.fullmatch(word) and "<|" not in word:
             lower = word.lower()
-            return self.parts[lower] if lower.isalpha() else b"".join(map(self.parts.__getitem__, _PARTS.findall(lower)))
+            parts = [lower] if lower.isalpha() else _PARTS.findall(lower)
+            # A part is a word too: it is kept among them.
+            return self._part(word) if parts == [word] else b"".join(map(self.words.__getitem__, parts))
         ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -71,10 +72,9 @@ class WordEncoder:
         return b"".join(map(self.words.__getitem__, [text] if _CONTROLS.search(text) else text.split()))
 
     def trim(self) -> None:
-        """Start a cache anew that holds more than WORDS_KEPT."""
-        for kept in (self.parts, self.words):
-            if len(kept) > WORDS_KEPT:
-                kept.clear()
+        """Start the cache anew if it holds more than WORDS_KEPT."""
+        if len(self.words) > WORDS_KEPT:
+            self.words.clear()
 
 
 _encoders: dict[str, WordEncoder] = {}
