@@ -23,6 +23,13 @@ CASES = [
     ('{:find [e] :where [[e :name "nobody"]]}', (), set()),
     ("{:find [n] :where [[:bob :name n]]}", (), {("Bob",)}),
     ("{:find [n] :where [[nil :name n]]}", (), set()),
+    ('{:find [e] :where [[:ivan :name "Nobody"] [e :age 50]]}', (), set()),
+    ('{:find [e] :where [[:ivan :name "Ivan"] [e :age 50]]}', (), {(":dominic",)}),
+    ('{:find [x] :in [x] :where [[:ivan :name "Nobody"]]}', (1,), set()),
+    ("{:find [x] :where [[(identity 3) x] [(q {:find [e] :where [[e :age 99]]})]]}", (), set()),
+    ('{:find [e] :where [[:ivan :no-such-attribute "x"] [e :age 50]]}', (), set()),
+    ("{:find [a] :where [[(= 1 2)] (above a b)] :rules [[(above a b) [b :boss a]]]}", (), set()),
+    ("{:find [x] :where [[(identity 3) x] (not [:ivan :age 30])]}", (), set()),
     ("{:find [e] :where [[#{:bob :ivan} :name n] [e :name n]]}", (), {(":bob",), (":ivan",)}),
     ('{:find [e] :where [[e :name #{"Bob" "Petr"}]]}', (), {(":bob",), (":petr",)}),
     ("{:find [e] :where [[e :name #{}]]}", (), set()),

@@ -78,11 +78,13 @@ class Db:
 
     def _collect(self, frame: DataFrame, timeout: int, label: str) -> list[Row]:
         tag = f"tidemark-{uuid.uuid4().hex}"
-        late = threading.Event()
+        late, over = threading.Event(), threading.Event()
 
         def stop() -> None:
             late.set()
-            self.spark.sparkContext.cancelJobsWithTag(tag)
+            while not over.is_set():  # a job may start after the first attempt
+                self.spark.sparkContext.cancelJobsWithTag(tag)
+                over.wait(0.1)
 
         timer = threading.Timer(timeout / 1000, stop)
         track = self.node.track(label) if self.node else None
@@ -90,6 +92,8 @@ class Db:
         timer.start()
         try:
             rows = frame.collect()
+            if late.is_set():
+                raise TimeoutError(f"query took more than {timeout} ms")
         except Exception as e:
             if track:
                 track("failed")
@@ -97,6 +101,7 @@ class Db:
                 raise TimeoutError(f"query took more than {timeout} ms") from e
             raise
         finally:
+            over.set()
             timer.cancel()
             self.spark.sparkContext.removeJobTag(tag)
         if track:

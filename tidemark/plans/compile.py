@@ -85,6 +85,7 @@ class Compiler:
         self.constraints = constraints or {}
         self.nullsafe = nullsafe
         self.relations: dict[str, DataFrame] = {}
+        self.units: list[DataFrame] = []
 
     # Joins.
 
@@ -99,6 +100,8 @@ class Compiler:
         return a, b
 
     def join(self, a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
+        if how == "inner" and any(a is u for u in self.units):
+            return b
         on = [x for x in a.columns if x in b.columns]
         if not on:
             if how == "inner":
@@ -156,7 +159,7 @@ class Compiler:
             df = df.withColumn(alias, F.explode(F.array_distinct(f"`{name}`")))
         for cond in filters:
             df = df.where(cond)
-        return df.select([col.alias(name) for name, col in keep.items()]) if keep else df.select(F.lit(1).alias(fresh("__unit")))
+        return df.select([col.alias(name) for name, col in keep.items()]) if keep else df.select(F.lit(1).alias(fresh("__held")))
 
     def _equals(self, column: Column, value: object, kind: T.DataType) -> Column:
         if isinstance(value, (set, frozenset)):
@@ -178,7 +181,7 @@ class Compiler:
                     out = a.unionByName(b)
             return [out]
         if len(parts) == 1:
-            names = [x.name for x in (e, parts[0][1]) if is_var(x)] or [fresh("__unit")]
+            names = [x.name for x in (e, parts[0][1]) if is_var(x)] or [fresh("__held")]
             return [self.spark.createDataFrame([], T.StructType([T.StructField(n, T.StringType()) for n in dict.fromkeys(names)]))]
         return [df for part in parts for df in self._star(e, [part])]
 
@@ -220,14 +223,19 @@ class Compiler:
                 continue
             start = next((x for x in rest if self._can_start(x)), None)
             if start is None:
-                unit = self.spark.range(1).select(F.lit(1).alias(fresh("__unit")))
+                unit = self._unit()
                 if out is None and any(self._ready(x, set()) for x in rest):
                     out = unit
                     continue
                 raise Unbound(set().union(*(self._needs(x) for x in rest)) - (set(out.columns) if out is not None else set()))
             rest.remove(start)
             out = self._apply(start, out, rules)
-        return out if out is not None else self.spark.range(1).select(F.lit(1).alias(fresh("__unit")))
+        return out if out is not None else self._unit()
+
+    def _unit(self) -> DataFrame:
+        """One row without variables; joined as it is, it leaves the other side alone."""
+        self.units.append(self.spark.range(1).select(F.lit(1).alias(fresh("__unit"))))
+        return self.units[-1]
 
     def _rank(self, x: object) -> int:
         return 0 if isinstance(x, Pred) and x.binding is None else 1 if isinstance(x, Pred) else 2 if isinstance(x, Not) else 3
@@ -289,7 +297,7 @@ class Compiler:
 
     def _apply(self, x: object, out: DataFrame | None, rules: dict[str, DataFrame] | None) -> DataFrame:
         if isinstance(x, Pred):
-            return self._pred(x, out if out is not None else self.spark.range(1).select(F.lit(1).alias(fresh("__unit"))), rules)
+            return self._pred(x, out if out is not None else self._unit(), rules)
         if isinstance(x, Not):
             return self._not(x, out, rules)
         if isinstance(x, Or):
@@ -548,7 +556,7 @@ class Compiler:
             if lacking := [n for n in names if n not in body.columns]:
                 seed = [n for n in lacking if df is not None and n in df.columns]
                 body = body.crossJoin(df.select(*[f"`{n}`" for n in seed]).distinct())
-            body = body.select(*[f"`{n}`" for n in names]) if names else body.select(F.lit(1).alias("__unit"))
+            body = body.select(*[f"`{n}`" for n in names]) if names else body.select(F.lit(1).alias("__held"))
             if out is None:
                 out = body
             else:
@@ -577,7 +585,7 @@ class Compiler:
                 filters.append(self._equals(column, arg, table.schema[name].dataType))
         for f in filters:
             table = table.where(f)
-        table = table.select([col.alias(n) for n, col in keep.items()]) if keep else table.limit(1).select(F.lit(1).alias(fresh("__unit")))
+        table = table.select([col.alias(n) for n, col in keep.items()]) if keep else table.limit(1).select(F.lit(1).alias(fresh("__held")))
         return table.distinct() if df is None else self.join(df, table.distinct())
 
     # Find.
