@@ -90,6 +90,16 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def _pack_ids(ids: np.ndarray) -> bytes:
+    """Ids of 16 bits, where all fit, after a byte that tells their width."""
+    width = 2 if len(ids) == 0 or int(ids.max()) < 1 << 16 else 4
+    return bytes([width]) + zstandard.ZstdCompressor(level=9).compress(ids.astype(f"<u{width}").tobytes())
+
+
+def _unpack_ids(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), f"<u{blob[0]}").astype("<u4")
+
+
 def _split(path: str, buckets: int) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         specials, task, made = _specials(path), TaskContext.get().partitionId(), 0
@@ -101,18 +111,16 @@ def _split(path: str, buckets: int) -> object:
 
         def chunk() -> pa.RecordBatch:
             nonlocal made, index, size
-            groups: list[tuple[list[int], list[str]]] = [([], []) for _ in range(buckets)]
+            groups: list[list[tuple[bytes, int]]] = [[] for _ in range(buckets)]
             for word, at in index.items():
-                word = word[1:] if word[:1] == _FIRST else " " + word
-                slot = groups[zlib.crc32(word.encode()) % buckets]
-                slot[0].append(at)
-                slot[1].append(word)
+                raw = word[1:].encode() if word[:1] == _FIRST else b" " + word.encode()
+                groups[zlib.crc32(raw) % buckets].append((raw, at))
             parts, orders = [], []
-            for bucket, (at, words) in enumerate(groups):
-                if at:
-                    raw = [w.encode() for w in words]
-                    orders.append({"bucket": bucket, "at": _pack(np.diff(np.array(at, np.uint32), prepend=np.uint32(0)))})
-                    parts.append({"bucket": bucket, "sizes": _pack(np.array([len(w) for w in raw], np.uint32)), "words": zstandard.ZstdCompressor(level=3).compress(b"".join(raw))})
+            for bucket, slot in enumerate(groups):
+                if slot:
+                    slot.sort()  # neighbours share their beginnings, which compresses
+                    orders.append({"bucket": bucket, "at": _pack(np.array([at for _, at in slot], np.uint32))})
+                    parts.append({"bucket": bucket, "sizes": _pack(np.array([len(w) for w, _ in slot], np.uint32)), "words": zstandard.ZstdCompressor(level=9).compress(b"".join([w for w, _ in slot]))})
             row = pa.RecordBatch.from_pylist([{"chunk": (task << 24) | made, "doc_ids": ids.copy(), "lengths": _pack(np.array(lengths, np.uint32)), "places": _pack(np.concatenate(places)), "orders": orders, "parts": parts}], _CHUNK)
             made += 1
             ids.clear(), lengths.clear(), places.clear()
@@ -159,7 +167,7 @@ def _encode(path: str) -> object:
                         table[word] = struct.pack(f"<{len(got.ids)}I", *got.ids)
                 found = [table[w] for w in words]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["chunk"]]), pa.array([row["bucket"]], pa.int32()), pa.array([_pack(np.array([len(x) // 4 for x in found], np.uint32))], pa.binary()), pa.array([_pack(np.frombuffer(b"".join(found), "<u4"))], pa.binary())],
+                    [pa.array([row["chunk"]]), pa.array([row["bucket"]], pa.int32()), pa.array([_pack(np.array([len(x) // 4 for x in found], np.uint32))], pa.binary()), pa.array([_pack_ids(np.frombuffer(b"".join(found), "<u4"))], pa.binary())],
                     names=["chunk", "bucket", "counts", "ids"],
                 )
 
@@ -172,13 +180,13 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.b
 def _assemble(path: str) -> object:
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         table = pieces(path)
-        orders = {o["bucket"]: np.cumsum(_unpack(o["at"]), dtype=np.int64).tolist() for row in docs["orders"].to_pylist() for o in row}
+        orders = {o["bucket"]: _unpack(o["at"]).tolist() for row in docs["orders"].to_pylist() for o in row}
         total = sum(map(len, orders.values()))
         encoded: list[bytes] = [b""] * total
         decoded: list[bytes] = [b""] * total
         for k in range(words.num_rows):
             row = words.slice(k, 1).to_pylist()[0]
-            ids, end = _unpack(row["ids"]), 0
+            ids, end = _unpack_ids(row["ids"]), 0
             raw, parts = ids.tobytes(), [table[i] for i in ids.tolist()]
             for at, count in zip(orders.pop(row["bucket"]), _unpack(row["counts"]).tolist(), strict=True):
                 encoded[at] = raw[4 * end : 4 * (end + count)]
