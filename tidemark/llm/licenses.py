@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import over
-from tidemark.llm.textkernel import NON_ALNUM, mix, text_slices, words
+from tidemark.llm.textkernel import NON_ALNUM, SPACE, mix, text_slices, words
 
-#: A unit (a line, a block of lines between empty ones, or the whole text) matches a template at this Dice coefficient.
+#: A unit (a line, a block of lines between blank ones, the whole text, or a run of its words) matches a template at this Dice coefficient.
 THRESHOLD = 0.9
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
@@ -98,12 +98,74 @@ class Templates:
                 out.append((unit, int(fits[dice.argmax()]), float(dice.max())))
         return out
 
+    def runs(self, values: np.ndarray, at: np.ndarray, floor: np.ndarray) -> list[tuple[int, int, float, int, int]]:
+        """(text, template, Dice, first and last bigram) of each text's best run of words, if it reaches the threshold and exceeds the text's floor.
+
+        A run reaches it only with threshold / (2 - threshold) of a template's bigrams; texts that hold fewer are not searched.
+        """
+        many, n = len(self.sizes), len(self.values)
+        hit = np.flatnonzero(self.maybe[(values >> np.uint64(48)).astype(np.int64)])
+        lo, hi = np.searchsorted(self.values, values[hit], "left"), np.searchsorted(self.values, values[hit], "right")
+        count = hi - lo
+        if not count.sum():
+            return []
+        entry = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        place, owner = np.repeat(hit, count), self.owner[entry]
+        text_of = np.searchsorted(at, place, "right") - 1
+        held = np.unique(text_of * n + entry)
+        common = np.bincount(held // n * many + self.owner[held % n], minlength=(len(at) - 1) * many).reshape(-1, many)
+        able = (common > 0) & (common >= self.threshold * self.sizes / (2 - self.threshold) - 1e-9) & (2 * common > floor[:, None] * (common + self.sizes))
+        out = []
+        for text in np.flatnonzero(able.any(axis=1)).tolist():
+            a, b = int(at[text]), int(at[text + 1])
+            mine = values[a:b]
+            order = np.argsort(mine, kind="stable")
+            again = np.flatnonzero(mine[order[1:]] == mine[order[:-1]])
+            before, after = np.full(b - a, -1), np.full(b - a, b - a)
+            before[order[again + 1]], after[order[again]] = order[again], order[again + 1]
+            here = slice(*np.searchsorted(place, [a, b]))
+            best, found = floor[text], None
+            for template in np.flatnonzero(able[text]).tolist():
+                inside = np.zeros(b - a, bool)
+                inside[place[here][owner[here] == template] - a] = True
+                run = _best_run(before, after, inside, int(self.sizes[template]), self.threshold, best)
+                if run:
+                    best, found = run[0], (text, template, *run)
+            if found:
+                out.append(found)
+        return out
+
+
+def _best_run(before: np.ndarray, after: np.ndarray, inside: np.ndarray, size: int, threshold: float, floor: float) -> tuple[float, int, int] | None:
+    """(Dice, first, last) of the run of bigrams most like a template of `size` bigrams, at the threshold and over the floor; `inside` marks the template's, `before` and `after` name the same bigram's neighbours.
+
+    A best run starts with a bigram of the template that it does not repeat, and has at most size * (2 - threshold) / threshold distinct ones.
+    """
+    most = int(size * (2 - threshold) / threshold + 1e-9)
+    out = None
+    for first in np.flatnonzero(inside).tolist():
+        end, start, distinct, common = int(after[first]), first, 0, 0
+        while start < end and distinct <= most:
+            stop = min(start + 2 * most + 1, end)
+            new = before[start:stop] < first
+            a, c = distinct + np.cumsum(new), common + np.cumsum(new & inside[start:stop])
+            dice = 2 * c / (a + size)
+            k = int(dice.argmax())
+            if dice[k] >= threshold and dice[k] > floor:
+                floor = float(dice[k])
+                out = (floor, first, start + k)
+            start, distinct, common = stop, int(a[-1]), int(c[-1])
+        if floor >= 1:
+            break
+    return out
+
 
 def _units(data: np.ndarray, offsets: np.ndarray) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(kind, starts of units with the end of the last, row of each) by lines, blocks of lines, and whole texts."""
+    """(kind, starts of units with the end of the last, row of each) by lines, blocks of lines, and whole texts. Lines of white space only are blank."""
     breaks = np.flatnonzero(data == 10)
     lines = np.unique(np.concatenate([offsets, breaks + 1]))
-    double = breaks[1:][np.diff(breaks) == 1]
+    filled = np.searchsorted(np.flatnonzero(~SPACE[data]), breaks)
+    double = breaks[1:][np.diff(filled) == 0]
     blocks = np.unique(np.concatenate([offsets, double + 1]))
     out = []
     for kind, edges in (("line", lines), ("block", blocks), ("text", np.unique(offsets))):
@@ -120,7 +182,7 @@ def _scan(rows: tuple[tuple[str, str], ...], threshold: float) -> object:
                 best: list[tuple] = [(0.0, None, None, None, None)] * n
                 sizes = np.zeros(n, np.int64)
                 for kind, edges, row_of in _units(data, offsets):
-                    hashes, first, _ = words(data, edges, NON_ALNUM)
+                    hashes, first, begins = words(data, edges, NON_ALNUM)
                     values, at = _pairs(hashes, first)
                     if kind == "text":
                         sizes[row_of] = np.diff(at)
@@ -128,6 +190,13 @@ def _scan(rows: tuple[tuple[str, str], ...], threshold: float) -> object:
                         row = int(row_of[unit])
                         if dice > best[row][0]:
                             best[row] = (dice, templates.names[template], kind, int(edges[unit] - offsets[row]), int(edges[unit + 1] - offsets[row]))
+                # the last kind was the whole text
+                for unit, template, dice, lo, hi in templates.runs(values, at, np.array([best[row][0] for row in row_of])):
+                    row, word = int(row_of[unit]), int(first[unit])
+                    a, z = int(begins[word + lo]), int(begins[word + hi + 1])
+                    gap = np.flatnonzero(NON_ALNUM[data[z : edges[unit + 1]]])
+                    end = z + int(gap[0]) if len(gap) else int(edges[unit + 1])
+                    best[row] = (dice, templates.names[template], "run", a - int(offsets[row]), end - int(offsets[row]))
                 dice, name, kind, lo, hi = zip(*best, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, n), pa.array(sizes), pa.array(name, pa.string()), pa.array(dice, pa.float64()), pa.array(kind, pa.string()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())],
@@ -138,11 +207,14 @@ def _scan(rows: tuple[tuple[str, str], ...], threshold: float) -> object:
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's best licence: doc_id, n_bigrams of its text (with repeats), license, dice, unit (line, block or text) and the unit's bytes; license null and dice 0 if no unit reaches the threshold.
+    """Each row's best licence: doc_id, n_bigrams of its text (with repeats), license, dice, unit (line, block, text or run) and the unit's bytes; license null and dice 0 if no unit reaches the threshold.
 
     Words are runs of ASCII letters, digits and non-ASCII bytes, lower-cased. Lines, blocks of
-    lines between empty ones and the whole text are compared, each as its set of word bigrams.
-    Of equal coefficients the smaller unit, then the earlier one, then the earlier template wins.
+    lines between blank ones, the whole text and every run of consecutive words of it are
+    compared, each as its set of word bigrams, so that a licence of several paragraphs or inside
+    a longer text or line is found. Of equal coefficients the line, then the block, the text and
+    the run wins; of equal units the earlier one, then the earlier template; of equal runs the
+    earlier template, then the earlier and shorter run.
     No shuffle; templates go with the task.
 
     Null and empty texts, and texts of one word: no licence. Null and repeated ids: rows as they
