@@ -135,6 +135,23 @@ def test_mutual_recursion_and_stratified_negation(spark):
     assert (4, 0) in node.db().q(f"{{:find [a b] :where [(lone a b)] {rules}}}")
 
 
+def test_only_rules_that_compute_values_are_bounded_in_rounds(spark, monkeypatch):
+    from tidemark.plans import rules
+    from tidemark.plans.sparql import translate
+
+    monkeypatch.setattr(rules, "MOST_ROUNDS", 3)
+    node = Node(spark)
+    node.submit_tx([("put", {"_id": k, "to": k + 1}) for k in range(20)])
+    query, args = translate("SELECT ?b WHERE { 0 <to>+ ?b }")
+    assert node.db().q(query, *args) == {(k + 1,) for k in range(20)}
+    chain = ":rules [[(path a b) [a :to b]] [(path a b) [a :to x] (path x b)]]"
+    assert len(node.db().q(f"{{:find [a b] :where [(path a b)] {chain}}}")) == 210
+    counting = ":rules [[(up a b) [a :to b]] [(up a b) (up a x) [(+ x 1) b] [(< b 30)]]]"
+    with pytest.raises(ValueError, match="most-rounds"):
+        node.db().q(f"{{:find [b] :where [(up 0 b)] {counting}}}")
+    assert node.db().q(f"{{:find [b] :where [(up 0 b)] {counting} :most-rounds 40 :timeout 100000}}") == {(k,) for k in range(1, 30)}
+
+
 def test_functions_as_arguments_and_allow_list(spark):
     from pyspark.sql import functions as F
 

@@ -46,7 +46,7 @@ class Db:
                 query = Query(**{**query.__dict__, "ins": [b for b in query.ins if b is not binding]})
             else:
                 plain.append(value)
-        compiler = Compiler(self.spark, self.catalog, query.rules, functions, self.aggregates, self.allowed, self.constraints, self.nullsafe)
+        compiler = Compiler(self.spark, self.catalog, query.rules, functions, self.aggregates, self.allowed, self.constraints, self.nullsafe, query.most_rounds)
         return compiler.finish(query, compiler.solve(query.where, bind_inputs(self.spark, query, plain)))
 
     def q(self, query: object, *args: object) -> set | list:

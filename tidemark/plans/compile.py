@@ -76,14 +76,14 @@ def _matches(value: object, kind: T.DataType) -> bool:
 
 
 class Compiler:
-    def __init__(self, spark: SparkSession, catalog: Catalog, rules: list[Rule] | None = None, functions: dict[str, Callable] | None = None, aggregates: dict[str, Callable] | None = None, allowed: set[str] | None = None, constraints: dict[str, Callable] | None = None, nullsafe: bool = False) -> None:
+    def __init__(self, spark: SparkSession, catalog: Catalog, rules: list[Rule] | None = None, functions: dict[str, Callable] | None = None, aggregates: dict[str, Callable] | None = None, allowed: set[str] | None = None, constraints: dict[str, Callable] | None = None, nullsafe: bool = False, most_rounds: int | None = None) -> None:
         self.spark, self.catalog = spark, catalog
         self.rules: dict[str, list[Rule]] = {}
         for r in rules or []:
             self.rules.setdefault(r.name, []).append(r)
         self.functions, self.aggregates, self.allowed = functions or {}, aggregates or {}, allowed
         self.constraints = constraints or {}
-        self.nullsafe = nullsafe
+        self.nullsafe, self.most_rounds = nullsafe, most_rounds
         self.relations: dict[str, DataFrame] = {}
         self.units: list[DataFrame] = []
 
@@ -469,7 +469,7 @@ class Compiler:
                 raise ValueError("a sub-query takes scalar and collection arguments")
         keys = [b for _, b in outer]
         seed = df.select(*seed_columns).distinct() if seed_columns else None
-        compiler = Compiler(self.spark, self.catalog, inner.rules, self.functions, self.aggregates, self.allowed, self.constraints, self.nullsafe)
+        compiler = Compiler(self.spark, self.catalog, inner.rules, self.functions, self.aggregates, self.allowed, self.constraints, self.nullsafe, self.most_rounds if inner.most_rounds is None else inner.most_rounds)
         if x.binding is None:
             rel = compiler.solve(inner.where, seed)
             if not keys:

@@ -4,25 +4,39 @@ A group of rules that call each other is filled together: each round joins what
 added with all that is known, and keeps what is new. Rounds are cut by tables in the shared
 folder. A rule whose arguments are computed, not found, is first told which arguments are asked
 for; these demands are a fixpoint of their own.
+
+Rules over stored values run until no row is new, however many rounds that takes. Rules that
+compute new values may never end: their rounds are bounded, by the query's :most-rounds.
 """
 
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
+from itertools import count
 from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.edn import Symbol
 from tidemark.plans.parse import Not, Or, Pred, Rule, RuleCall, Triple, is_var, variables
 from tidemark.workspace import cut
 
 if TYPE_CHECKING:
+    from collections.abc import Iterable
+
     from tidemark.plans.compile import Compiler
 
-#: Rounds after which a fixpoint is given up as endless.
+#: Rounds after which a fixpoint that computes new values is given up as endless, where the query does not say.
 MOST_ROUNDS = 200
 
+#: Functions whose results are values that exist already.
+STORED = (Symbol("identity"), Symbol("get-attr"))
+
+#: Tables of as many rounds, and then of as many such tables, become one: plans stay short over any number of rounds.
+MERGED = 8
+
 
 def calls(clauses: list, negated: bool = False) -> list[tuple[str, bool]]:
     out = []
@@ -51,6 +65,48 @@ def group_of(rules: dict[str, list[Rule]], name: str) -> set[str]:
     return {n for n in reach(name) if name in reach(n)}
 
 
+def computes(compiler: Compiler, group: set[str]) -> bool:
+    """Whether a rule of the group, or one that it calls, binds values that are not stored."""
+
+    def binds(clauses: list) -> bool:
+        for x in clauses:
+            if isinstance(x, Pred) and x.binding is not None and (x.fn not in STORED or x.fn.name in compiler.functions):
+                return True
+            if binds(x.clauses if isinstance(x, Not) else [y for b in x.branches for y in b] if isinstance(x, Or) else []):
+                return True
+        return False
+
+    seen, todo = set(group), list(group)
+    while todo:
+        for r in compiler.rules.get(todo.pop(), []):
+            if binds(r.clauses):
+                return True
+            new = {n for n, _ in calls(r.clauses)} - seen
+            seen |= new
+            todo += new
+    return False
+
+
+def _rounds(compiler: Compiler, group: set[str]) -> Iterable[int]:
+    if not computes(compiler, group):
+        return count()
+    return range(MOST_ROUNDS if compiler.most_rounds is None else compiler.most_rounds)
+
+
+class Grown:
+    """A relation that grows by a table a round."""
+
+    def __init__(self, first: DataFrame) -> None:
+        self.parts = [(0, first)]
+
+    def add(self, df: DataFrame) -> DataFrame:
+        self.parts.append((0, df))
+        while len(self.parts) >= MERGED and self.parts[-MERGED][0] == self.parts[-1][0]:
+            level = self.parts[-1][0]
+            self.parts[-MERGED:] = [(level + 1, cut(reduce(DataFrame.union, [d for _, d in self.parts[-MERGED:]]), "rule"))]
+        return reduce(DataFrame.union, [d for _, d in self.parts])
+
+
 def relation(compiler: Compiler, call: RuleCall, df: DataFrame | None, rules: dict[str, DataFrame] | None) -> DataFrame:
     from tidemark.plans.compile import Unbound
 
@@ -103,8 +159,8 @@ def _fixpoint(compiler: Compiler, group: set[str], rules: dict[str, DataFrame] |
     for n in waiting:
         names = compiler.rules[n][0].args
         known[n] = compiler.spark.createDataFrame([], ", ".join(f"`{a}` {example.dtypes[min(k, len(example.columns) - 1)][1]}" for k, a in enumerate(names)))
-    delta = dict(known)
-    for _ in range(MOST_ROUNDS):
+    delta, grown = dict(known), {n: Grown(d) for n, d in known.items()}
+    for _ in _rounds(compiler, group):
         added: dict[str, DataFrame] = {}
         for n in sorted(group):
             made = []
@@ -126,9 +182,9 @@ def _fixpoint(compiler: Compiler, group: set[str], rules: dict[str, DataFrame] |
         if not added:
             return known
         for n, d in added.items():
-            known[n] = known[n].union(d)
+            known[n] = grown[n].add(d)
         delta = {n: added.get(n, known[n].limit(0)) for n in group}
-    raise ValueError(f"rules {sorted(group)} did not end within {MOST_ROUNDS} rounds")
+    raise ValueError(f"rules {sorted(group)} did not end within the rounds allowed; :most-rounds allows more")
 
 
 def _asked(compiler: Compiler, call: RuleCall, df: DataFrame | None) -> DataFrame:
@@ -152,8 +208,8 @@ def _demanded(compiler: Compiler, name: str, asked: DataFrame) -> DataFrame:
     heads, given = compiler.rules[name], asked.columns
     places = [heads[0].args.index(n) for n in given]
     demand = cut(asked, "demand")
-    new = demand
-    for _ in range(MOST_ROUNDS):
+    new, grown = demand, Grown(demand)
+    for _ in _rounds(compiler, {name}):
         more = []
         for r in heads:
             inner = [x for x in r.clauses if isinstance(x, RuleCall) and x.name == name]
@@ -180,17 +236,18 @@ def _demanded(compiler: Compiler, name: str, asked: DataFrame) -> DataFrame:
         new = cut(step.join(held, given, "left_anti"), "demand")
         if new.isEmpty():
             break
-        demand = demand.union(new)
+        demand = grown.add(new)
     else:
-        raise ValueError(f"the arguments asked of rule {name} never end")
+        raise ValueError(f"the arguments asked of rule {name} did not end within the rounds allowed; :most-rounds allows more")
     base = [r for r in heads if not any(c == name for c, _ in calls(r.clauses))]
     seeds = lambda r: demand.toDF(*[r.args[p] for p in places])
     known = cut(_union([_head(compiler, r, seeds(r), None) for r in base], compiler), "rule")
-    for _ in range(MOST_ROUNDS):
+    grown = Grown(known)
+    for _ in _rounds(compiler, {name}):
         made = [_head(compiler, r, seeds(r), {name: known}) for r in heads if r not in base]
         step, held = compiler._aligned(_union(made, compiler).toDF(*known.columns), known, known.columns)
         new = cut(step.join(held, known.columns, "left_anti"), "rule")
         if new.isEmpty():
             return known
-        known = known.union(new)
-    raise ValueError(f"rule {name} did not end within {MOST_ROUNDS} rounds")
+        known = grown.add(new)
+    raise ValueError(f"rule {name} did not end within the rounds allowed; :most-rounds allows more")
