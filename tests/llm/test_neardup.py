@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from tidemark.llm import neardup, queries
 from tidemark.llm.components import connected_components
@@ -99,3 +100,15 @@ def test_components_of_a_long_chain(spark):
 def test_query(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in queries.op5_tensored_minhash(spark, sf).collect()), key=str) == brute(rows)
+
+
+def test_exact_rest_compares_whole_hashes():
+    """Two sets at 0.75 and one below, of 64-bit values whose halves coincide often."""
+    value = lambda i: ((i // 64) << 32) | (i % 64)
+    sets = [range(350), [*range(300), *range(1000, 1050)], [*range(299), *range(2000, 2051)]]
+    items = [np.array([value(i) for i in s], np.uint64).tobytes() for s in sets]
+    same = [0, 0, 0]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(x, pa.int64()) for x in (same, same, same, [1, 2, 3], [1, 2, 3], same, [350, 350, 350])] + [pa.array(items, pa.binary())], names=["half", "lo", "hi", "node", "part", "side", "n", "items"]
+    )
+    assert [(r["a"], r["b"]) for out in neardup._across(75)(iter([batch])) for r in out.to_pylist()] == [(1, 2)]

@@ -65,16 +65,11 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _whole_sets(width: type) -> object:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, values, at in _sets(batch.column(1)):
-                data = np.ascontiguousarray(values if width is np.uint64 else (values & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-                item = data.dtype.itemsize
-                blob = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * item).astype(np.int64)), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(at) - 1), pa.array(np.diff(at)), blob.cast(pa.binary())], names=["node", "n", "items"])
-
-    return run
+def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row, values, at in _sets(batch.column(1)):
+            blob = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * 8).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(at) - 1), pa.array(np.diff(at)), blob.cast(pa.binary())], names=["node", "n", "items"])
 
 
 def _confirm(percent: int) -> object:
@@ -91,7 +86,7 @@ def _confirm(percent: int) -> object:
 
 
 def _linked(nodes: np.ndarray, parts: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Pairs of one block of a group that are in different components and, by their 32-bit shingles, similar enough; side: 0 in both halves, else 1 or 2, which meet each other only."""
+    """Pairs of one block of a group that are in different components and, by their 64-bit shingles, similar enough; side: 0 in both halves, else 1 or 2, which meet each other only."""
     n = len(nodes)
     ok = (parts[:, None] != parts[None, :]) & (np.minimum(sizes[:, None], sizes[None, :]) * 100 >= percent * np.maximum(sizes[:, None], sizes[None, :]))
     ok &= np.triu(np.ones((n, n), bool), 1)
@@ -111,10 +106,7 @@ def _linked(nodes: np.ndarray, parts: np.ndarray, sizes: np.ndarray, sets: list[
         for k in range(0, len(left), 16384):
             both[k : k + 16384] += np.bitwise_count(packed[left[k : k + 16384]] & packed[right[k : k + 16384]]).sum(axis=1, dtype=np.int64)
     total = sizes[left] + sizes[right]
-    # Of 32-bit values one or two may coincide: within that margin a pair is returned whatever else links its ends.
-    maybe = 100 * (both + 2) >= percent * (total - both - 2)
-    sure = 100 * (both - 2) >= percent * (total - both + 2)
-    found = zip(left[maybe].tolist(), right[maybe].tolist(), sure[maybe].tolist(), strict=True)
+    near = 100 * both >= percent * (total - both)
     root = list(range(n))
 
     def top(x: int) -> int:
@@ -124,11 +116,10 @@ def _linked(nodes: np.ndarray, parts: np.ndarray, sizes: np.ndarray, sets: list[
         return x
 
     spanning = []
-    for i, j, certain in found:
+    for i, j in zip(left[near].tolist(), right[near].tolist(), strict=True):
         a, b = top(i), top(j)
-        if a != b or not certain:
-            if certain:
-                root[b] = a
+        if a != b:
+            root[b] = a
             spanning.append((int(nodes[i]), int(nodes[j])))
     return spanning
 
@@ -138,7 +129,7 @@ def _across(percent: int) -> object:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(rows: pa.Table) -> list[tuple[int, int]]:
-            sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in rows["items"].combine_chunks()]
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["items"].combine_chunks()]
             return _linked(rows["node"].to_numpy(), rows["part"].to_numpy(), rows["n"].to_numpy(), sets, rows["side"].to_numpy(), percent)
 
         rest: list[pa.Table] = []
@@ -218,7 +209,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = work.cut(placed, "placed")
     mixed = work.cut(placed.groupBy("half").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("half", "c"), "mixed")
     rest = work.cut(placed.join(mixed, "half"), "rest")
-    sets = over(only(docs, rest.select("node").distinct(), "node"), _whole_sets(np.uint32), "node long, n long, items binary")
+    sets = over(only(docs, rest.select("node").distinct(), "node"), _whole_sets, "node long, n long, items binary")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     rest = rest.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rest = rest.select(
@@ -240,7 +231,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _verified(docs: DataFrame, pairs: DataFrame, work: Workspace, percent: int) -> DataFrame:
     """Pairs (a, b) whose whole shingle sets are similar enough, in a table."""
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = over(only(docs, ids, "node"), _whole_sets(np.uint64), "node long, n long, items binary")
+    sets = over(only(docs, ids, "node"), _whole_sets, "node long, n long, items binary")
     sets = work.cut(sets.where("n > 0"), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
