@@ -73,10 +73,18 @@ def text_slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) ->
         row = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _characters(data: np.ndarray) -> np.ndarray:
+    """Where kana and Han characters of three bytes start (U+3040-30FF, U+4000-9FFF)."""
+    lead = np.flatnonzero((data >= 0xE3) & (data <= 0xE9))
+    after = data[np.minimum(lead + 1, len(data) - 1)]
+    return lead[(data[lead] > 0xE3) | ((after >= 0x81) & (after <= 0x83))]
+
+
+def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, characters: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(64-bit hash of each word with A-Z lower-cased, index of the first word of each row, byte where each word starts).
 
-    Rows end words. The second array has one entry more than rows.
+    Rows end words. The second array has one entry more than rows. With `characters`, kana and
+    Han characters, which are written without spaces, are words of their own.
     """
     n = len(data)
     if not n:
@@ -85,6 +93,9 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tupl
     before = np.empty(n, bool)
     before[0], before[1:] = False, letter[:-1]
     cut = offsets[(offsets > 0) & (offsets < n)]
+    if characters and len(wide := _characters(data)):
+        cut = np.unique(np.concatenate([cut, wide, wide + 3]))
+        cut = cut[(cut > 0) & (cut < n)]
     before[cut] = False
     start = np.flatnonzero(letter & ~before)
     after = np.empty(n, bool)
