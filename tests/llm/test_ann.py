@@ -55,12 +55,56 @@ def test_empty_table(spark):
 
 def test_probing_finds_every_code_within_the_radius():
     rng = np.random.default_rng(5)
-    codes = rng.integers(0, 256, (500, 4), dtype=np.uint8)
-    codes[:50] = codes[0] ^ (1 << rng.integers(0, 8, (50, 4))).astype(np.uint8)
-    tables = ann.Tables(codes)
-    for radius in (0, 3, 5, 9, 32):
-        far = np.bitwise_count(codes ^ codes[0]).sum(axis=1, dtype=int)
-        assert tables.within(codes[0], radius).tolist() == np.flatnonzero(far <= radius).tolist()
+    v = rng.normal(size=(600, 8))
+    v[:200] = v[0] + rng.normal(size=(200, 8)) * 0.3
+    for tables, bits, near in ((4, 8, 0), (3, 10, 2), (2, 12, 1), (1, 8, 8)):
+        codes = ann.Codes(np.zeros(8), rng.normal(size=(8, tables * bits)), tables, bits, near, tables * (near + 1) - 1)
+        values, whole = codes.encode(v)
+        index = ann.Tables(codes, values, whole)
+        signs = v @ codes.rotation > 0
+        far = (signs ^ signs[0]).sum(axis=1)
+        split = (signs ^ signs[0]).reshape(-1, tables, bits).sum(axis=2)
+        assert index.probed(values[0]).tolist() == np.flatnonzero((split <= near).any(axis=1)).tolist()
+        want = np.flatnonzero(far <= codes.radius) if near < bits else np.arange(600)
+        assert index.near(values[0], whole[0]).tolist() == want.tolist()
+
+
+def test_recall_and_reach_where_vectors_have_structure():
+    """Near vectors: a small part of the rows is probed and fewer are scored."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(1000, 32))
+    v = centres[rng.integers(0, 1000, 20000)] + rng.normal(size=(20000, 32)) * 0.25
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    codes = ann.fit(v[:6000], 20, len(v), len(v))
+    values, whole = codes.encode(v)
+    index = ann.Tables(codes, values, whole)
+    hits = probed = 0
+    for q in range(0, 20000, 200):
+        near = v @ v[q]
+        near[q] = -np.inf
+        hits += np.isin(np.argsort(-near)[:20], index.near(values[q], whole[q])).sum()
+        probed += len(index.probed(values[q]))
+    assert hits / 2000 >= 0.9 and probed / 100 < 0.1 * len(v)
+
+
+def test_top_k_is_limited_before_the_shuffle(spark, sf):
+    plan = queries.op6_multi_index_hashing(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_blocks_and_query_groups(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(k % 190, rng.normal(size=8).tolist()) for k in range(200)]
+    monkeypatch.setattr(ann, "BLOCK", 50)
+    monkeypatch.setattr(ann, "QUERIES", 3)
+    monkeypatch.setattr(ann, "TARGET", 2)  # every row is probed
+    kept = {}
+    for i, v in rows:
+        kept.setdefault(i, []).append(np.array(v, np.float32).astype(float))
+    for q, rs in ask(spark, rows, 5).items():
+        asks = min(kept[q], key=lambda x: x.tobytes())
+        best = sorted((-float((asks * y).sum()), i) for i, ys in kept.items() if i != q for y in ys)[:5]
+        assert [(r["vec_id"], -r["score"]) for r in rs] == [(i, s) for s, i in best]
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])

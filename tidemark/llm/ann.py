@@ -2,91 +2,153 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import Workspace, over
-
-#: Vectors, at most, that rotation and radius are fitted on.
-SAMPLE_ROWS = 6000
-#: Neighbours of sampled queries within the sample that the radius must keep; over all rows neighbours are nearer.
-TARGET = 0.97
-#: Bits of a substring: each of its tables has 256 buckets.
-BITS = 8
-#: Rows of an index block, and queries of a query block.
-BLOCK, QUERIES = 16384, 1024
-
-
-def fit(sample: np.ndarray, k: int, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, int]:
-    """(centre, rotation, radius): principal axes turned so that signs lose least, and the Hamming radius that keeps TARGET of the sample's own neighbours."""
+from tidemark.llm.shared import Workspace, give_back, over
+
+#: Vectors, at most, that rotations, substrings and radii are fitted on, and queries among them.
+SAMPLE_ROWS, SAMPLE_QUERIES = 6000, 400
+#: Share of the sample's neighbours that probing must find, and share of those that the radius over the whole code must keep.
+TARGET, KEEP = 0.95, 0.99
+#: Bits of a code, at most: as many learned rotations as that takes.
+MOST_BITS = 512
+#: Rows of an index block and queries of a query block, at most; a small table has more blocks, of LEAST_BLOCK rows at least, so that all cores have one.
+BLOCK, QUERIES, LEAST_BLOCK = 131072, 65536, 4096
+#: What looking up a bucket costs, where visiting a row costs 1.
+PROBE_COST = 1.5
+
+
+@dataclass(frozen=True)
+class Codes:
+    """Codes of `tables` substrings of `bits` bits. Probing all values within `near` bits of each finds every code within the Hamming radius of tables * (near + 1) - 1, and others; those within `radius` are reranked."""
+
+    centre: np.ndarray
+    rotation: np.ndarray
+    tables: int
+    bits: int
+    near: int
+    radius: int
+
+    def encode(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(substrings of each row, whole codes as 64-bit words)."""
+        width = self.tables * self.bits
+        values = np.empty((len(vectors), self.tables), np.int32)
+        whole = np.zeros((len(vectors), -(-width // 64) * 64), bool)
+        powers = (1 << np.arange(self.bits)).astype(np.float32)
+        for k in range(0, len(vectors), 8192):
+            signs = (vectors[k : k + 8192] - self.centre) @ self.rotation > 0
+            whole[k : k + 8192, :width] = signs
+            values[k : k + 8192] = signs.reshape(-1, self.bits).astype(np.float32).dot(powers).reshape(-1, self.tables)
+        return values, np.packbits(whole, axis=1).view(np.uint64)
+
+
+def _turns(sample: np.ndarray, width: int, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and `width` directions: rotations from different starts, each turned so that signs lose least."""
     dim = sample.shape[1]
-    bits = -(-dim // BITS) * BITS
     centre = sample.mean(axis=0)
     x = sample - centre
     rng = np.random.default_rng(11)
-    _, axes = np.linalg.eigh(x.T @ x)
-    spread = np.hstack([axes[:, ::-1], np.linalg.qr(rng.normal(size=(dim, dim)))[0][:, : bits - dim]]) if bits > dim else axes[:, ::-1]
-    v = x @ spread
-    turn = np.linalg.qr(rng.normal(size=(bits, bits)))[0]
-    for _ in range(rounds):
-        u, _, w = np.linalg.svd(np.where(v @ turn > 0, 1.0, -1.0).T @ v)
-        turn = (u @ w).T
-    rotation = spread @ turn
-    codes = encode(sample, centre, rotation)
-    some = np.arange(0, len(sample), max(1, len(sample) // 400))
-    near = sample[some] @ sample.T
-    near[np.arange(len(some)), some] = -np.inf
-    k = min(k, len(sample) - 1)
+    out = []
+    for _ in range(-(-width // dim)):
+        turn = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
+        for _ in range(rounds):
+            u, _, w = np.linalg.svd(np.where(x @ turn > 0, 1.0, -1.0).T @ x)
+            turn = (u @ w).T
+        out.append(turn)
+    return centre, np.hstack(out)[:, :width]
+
+
+def fit(sample: np.ndarray, k: int, rows: int, block: int) -> Codes:
+    """Learned rotations, and the substrings that find TARGET of the neighbours at the least cost in a block of `block` rows.
+
+    A neighbour of rank r among all `rows` is, in a sample, of rank r * sample / rows: those
+    neighbours within the sample stand for the k nearest of all. If no substrings reach TARGET
+    the tables have one bucket's reach, which is all rows.
+    """
+    width = MOST_BITS
+    centre, rotation = _turns(sample, width)
+    everything = Codes(centre, rotation[:, :8], 1, 8, 8, 8)
+    some = np.arange(0, len(sample), max(1, len(sample) // SAMPLE_QUERIES))
+    inner = sample[some] @ sample.T
+    inner[np.arange(len(some)), some] = -np.inf
+    k = min(max(1, math.ceil(k * len(sample) / rows)), len(sample) - 1)
     if k < 1:
-        return centre, rotation, bits
-    top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-    gaps = np.bitwise_count(codes[some][:, None, :] ^ codes[top]).sum(axis=2, dtype=np.int64)
-    return centre, rotation, int(np.ceil(np.quantile(gaps, TARGET)))
-
-
-def encode(vectors: np.ndarray, centre: np.ndarray, rotation: np.ndarray) -> np.ndarray:
-    """Binary codes as bytes: each byte is a substring."""
-    return np.packbits((vectors - centre) @ rotation > 0, axis=1)
+        return everything
+    top = np.argpartition(-inner, k - 1, axis=1)[:, :k]
+    signs = (sample - centre) @ rotation > 0
+    apart = signs[some][:, None, :] ^ signs[top]
+    best, least = everything, 256 * PROBE_COST + block
+    for bits in range(8, 21, 2):
+        many = width // bits
+        gaps = apart[:, :, : many * bits].reshape(-1, many, bits).sum(axis=2)
+        for near in range(5):
+            ball = sum(math.comb(bits, i) for i in range(near + 1))
+            found = np.maximum.accumulate(gaps <= near, axis=1).mean(axis=0)
+            if found[-1] < TARGET:
+                continue
+            tables = int(np.argmax(found >= TARGET)) + 1
+            cost = tables * ball * PROBE_COST + (1 - (1 - ball / 2**bits) ** tables) * block
+            if cost < least:
+                radius = int(np.ceil(np.quantile(gaps[:, :tables].sum(axis=1)[(gaps[:, :tables] <= near).any(axis=1)], KEEP)))
+                best, least = Codes(centre, rotation[:, : tables * bits], tables, bits, near, radius), cost
+    return best
 
 
 class Tables:
     """A table for each substring of a block's codes: its bucket holds the rows with that value."""
 
-    def __init__(self, codes: np.ndarray) -> None:
-        self.codes = np.ascontiguousarray(codes)
-        self.order = np.argsort(codes.T, axis=1, kind="stable")
-        self.starts = np.stack([np.searchsorted(np.sort(c), np.arange(257)) for c in codes.T])
-        self.flips = [np.flatnonzero(np.bitwise_count(np.arange(256, dtype=np.uint8)) <= r) for r in range(BITS + 1)]
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Every row whose code is within `radius`: one of m substrings then differs in radius // m bits at most, so probing the buckets that near in each table finds it."""
-        m = self.codes.shape[1]
-        seen = np.zeros(len(self.codes), bool)
-        for j in range(m):
-            for value in (self.flips[min(BITS, radius // m)] ^ int(code[j])).tolist():
-                seen[self.order[j, self.starts[j, value] : self.starts[j, value + 1]]] = True
-        rows = np.flatnonzero(seen)
-        return rows[np.bitwise_count(self.codes[rows] ^ code).sum(axis=1, dtype=np.int64) <= radius]
-
-
-def _search(centre: np.ndarray, rotation: np.ndarray, radius: int, k: int) -> object:
+    def __init__(self, codes: Codes, values: np.ndarray, whole: np.ndarray) -> None:
+        self.codes, self.whole, self.rows = codes, whole, len(values)
+        buckets = 1 << codes.bits
+        self.order = np.concatenate([np.argsort(v, kind="stable") for v in values.T]).astype(np.int32)
+        ends = [np.cumsum(np.bincount(v, minlength=buckets)) for v in values.T]
+        self.starts = np.concatenate([np.concatenate([[0], e]) + j * self.rows for j, e in enumerate(ends)])
+        every = np.arange(buckets, dtype=np.int64)
+        self.flips = every[np.bitwise_count(every) <= codes.near]
+        self.shift = np.arange(codes.tables, dtype=np.int64)[:, None] * (buckets + 1)
+        self.seen = np.zeros(self.rows, bool)
+
+    def probed(self, values: np.ndarray) -> np.ndarray:
+        """Rows of all buckets within `near` bits of a query's substrings."""
+        at = ((self.flips[None, :] ^ values[:, None]) + self.shift).ravel()
+        lo = self.starts[at]
+        count = self.starts[at + 1] - lo
+        some = count > 0
+        lo, count = lo[some], count[some]
+        self.seen[self.order[np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())]] = True
+        rows = np.flatnonzero(self.seen)
+        self.seen[rows] = False
+        return rows
+
+    def near(self, values: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Probed rows whose whole code is within the radius."""
+        rows = self.probed(values)
+        if self.codes.near >= self.codes.bits:
+            return rows
+        return rows[np.bitwise_count(self.whole[rows] ^ code).sum(axis=1, dtype=np.int64) <= self.codes.radius]
+
+
+def _search(codes: Codes, k: int) -> object:
     def run(queries: pa.Table, index: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
         ids = index["vec_id"].to_numpy()
         if len(ids) and queries.num_rows:
             vectors = _matrix(index["vector"])
-            tables = Tables(encode(vectors, centre, rotation))
+            tables = Tables(codes, *codes.encode(vectors))
             q_ids, q = queries["query_id"].to_numpy(), _matrix(queries["vector"])
-            for query, vector, code in zip(q_ids.tolist(), q, encode(q, centre, rotation), strict=True):
-                reach, rows = radius, tables.within(code, radius)
-                while len(rows) < min(k + 1, len(ids)):
-                    reach += tables.codes.shape[1]
-                    rows = tables.within(code, reach)
+            for query, vector, values, code in zip(q_ids.tolist(), q, *codes.encode(q), strict=True):
+                rows = tables.near(values, code)
                 rows = rows[ids[rows] != query]
+                if len(rows) < k:
+                    rows = np.flatnonzero(ids != query)
                 near = vectors[rows] @ vector
                 if len(rows) > k:
                     least = np.partition(near, len(near) - k)[len(near) - k]
@@ -96,13 +158,15 @@ def _search(centre: np.ndarray, rotation: np.ndarray, radius: int, k: int) -> ob
                 out[0] += [query] * len(best)
                 out[1] += ids[rows[best]].tolist()
                 out[2] += exact[best].tolist()
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+        found = pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+        give_back()
+        return found
 
     return run
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    return np.stack([np.frombuffer(x, np.float64) for x in column.to_pylist()])
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
 
 
 def _usable(id_name: str) -> object:
@@ -125,16 +189,20 @@ def _usable(id_name: str) -> object:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of `queries` the k rows of `vectors` with the largest inner product, the query's own id apart.
 
-    Rotation and radius are fitted on at most SAMPLE_ROWS vectors; every vector is coded and
-    indexed in blocks, and blocks of queries visit each block of the index. There every code
-    within the radius is found by pigeonhole probing (a query that finds fewer than k looks
-    further), and scored in double precision on the original vectors. Best first; ties go to the
-    smaller id. Recall depends on the radius; tests measure it against brute force.
+    Rotations, substrings and radius are fitted on at most SAMPLE_ROWS vectors; every vector is
+    coded and indexed in blocks, and each query visits the tables of every block: pigeonhole
+    probing of all substrings finds every code within a Hamming radius, codes within the fitted
+    radius are scored in double precision on the original vectors, and a block returns its k best
+    (a query that finds fewer in a block looks at all of it). Best first; ties go to the smaller
+    id. Recall is fitted to TARGET * KEEP; tests measure it against brute force. The index is
+    shuffled once for each QUERIES queries, the queries once for each BLOCK rows; the k best of
+    each query are picked by a limit that is applied before that shuffle too.
 
     Null ids and vectors that are null, empty, zero or hold a null or non-finite number take no
     part; nor do vectors of another length than most. Fewer than k candidates: all. Empty
-    tables: no rows. Repeated ids are separate candidates, none of them for a query of that id.
-    Other columns are ignored.
+    tables: no rows. Repeated ids are separate candidates, none of them for a query of that id;
+    of repeated query ids the one with the smallest vector, as bytes, asks. Other columns are
+    ignored.
     """
     spark = vectors.sparkSession
     work = Workspace(spark, "ann")
@@ -144,15 +212,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     sizes = base.groupBy("size").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "size").first()
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    base = base.where(F.col("size") == sizes["size"])
+    base = base.where(F.col("size") == sizes["size"]).select("vec_id", "vector")
     asked = over(pick(queries), _usable("query_id"), "query_id long, vector binary, size int").where(F.col("size") == sizes["size"])
+    asked = work.cut(asked.groupBy("query_id").agg(F.min("vector").alias("vector")), "queries")
     part = min(1.0, SAMPLE_ROWS / sizes["c"])
     sample = base.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < part * (1 << 30)).limit(2 * SAMPLE_ROWS).select("vector").collect()
-    fitted = fit(np.stack([np.frombuffer(r["vector"], np.float64) for r in sample]) if sample else np.ones((1, sizes["size"])), k)
-    blocks = max(1, -(-sizes["c"] // BLOCK))
+    blocks = max(-(-sizes["c"] // BLOCK), min(spark.sparkContext.defaultParallelism, sizes["c"] // LEAST_BLOCK), 1)
     groups = max(1, -(-asked.count() // QUERIES))
+    codes = fit(np.stack([np.frombuffer(r["vector"], np.float64) for r in sample]) if sample else np.ones((1, sizes["size"])), k, sizes["c"], -(-sizes["c"] // blocks))
     index = base.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks))).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     probes = asked.withColumn("group", F.pmod(F.xxhash64("query_id", F.lit(2)), F.lit(groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    found = probes.groupBy("group", "block").cogroup(index.groupBy("group", "block")).applyInArrow(_search(*fitted, k), schema)
-    ranked = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("below"), "vec_id", "score"))).alias("near"))
-    return ranked.select("query_id", F.posexplode(F.slice("near", 1, k)).alias("at", "hit")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "hit.vec_id", "hit.score")
+    found = probes.groupBy("group", "block").cogroup(index.groupBy("group", "block")).applyInArrow(_search(codes, k), schema)
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
