@@ -1,3 +1,5 @@
+import itertools
+import re
 import zlib
 
 import numpy as np
@@ -5,16 +7,70 @@ import numpy as np
 from tidemark.llm import queries, toxicity
 
 
-def test_label_model_finds_accuracies_and_correlations():
+def test_label_model_finds_accuracies_and_correlations(monkeypatch):
+    """Votes drawn from known rates, with copies of a voter and a voter for clean; the prior is off and weighs little."""
+    monkeypatch.setattr(toxicity, "PRIOR_ROWS", 20)
     rng = np.random.default_rng(2)
-    truth = rng.random(4000) < 0.3
-    good = np.where(truth, rng.random(4000) < 0.8, rng.random(4000) < 0.02)
-    noise = rng.random(4000) < 0.2
-    votes = np.stack([good, good, noise], axis=1).astype(float)
-    post, accuracy, tie = toxicity.label_model(votes, 0.3, truth.astype(float))
-    assert ((post > 0.5) == truth).mean() > 0.9
-    assert accuracy[0] > 0.85 and accuracy[2] < 0.5
-    assert tie[0, 1] > 0.5 > tie[0, 2]
+    truth = rng.random(6000) < 0.3
+    draw = lambda toxic, clean: np.where(truth, rng.random(6000) < toxic, rng.random(6000) < clean)
+    rates = [(0.7, 0.02), (0.6, 0.05), (0.2, 0.2), (0.05, 0.5), (0.65, 0.03), (0.55, 0.04), (0.6, 0.03)]
+    drawn = [draw(*r) for r in rates]
+    votes = np.stack([*drawn, drawn[0], drawn[0]], axis=1).astype(float)
+    hint = np.array([[0.1, 0.1, 0.25, 0.3, 0.1, 0.1, 0.1, 0.1, 0.1], [0.5, 0.5, 0.3, 0.1, 0.5, 0.5, 0.5, 0.5, 0.5]])
+    model, post = toxicity.label_model(votes, hint, 0.4)
+    linked = {tuple(sorted((j, int(p)))) for j, p in enumerate(model.parent) if p >= 0}
+    assert len(linked & {(0, 7), (0, 8), (7, 8)}) == 2
+    for j, (toxic, clean) in enumerate(rates):
+        if model.parent[j] < 0:
+            assert abs(model.speaks[1, 0, j] - toxic) < 0.08 and abs(model.speaks[0, 0, j] - clean) < 0.06
+    assert sum(model.parent[:7] < 0) >= 5
+    assert ((post > 0.5) == truth).mean() > 0.95 and abs(model.prior - 0.3) < 0.05
+    once, alone = toxicity.label_model(votes[:, :7], hint[:, :7], 0.4)
+    assert ((alone > 0.5) == (post > 0.5)).mean() > 0.99
+
+
+def test_posterior_against_brute_force():
+    rng = np.random.default_rng(4)
+    votes = (rng.random((300, 5)) < 0.4).astype(float)
+    votes[:, 3] = np.where(rng.random(300) < 0.9, votes[:, 1], votes[:, 3])
+    model, post = toxicity.label_model(votes, np.clip(rng.random((2, 5)), 0.1, 0.9), 0.3)
+    for row, p in zip(votes, post, strict=True):
+        weight = []
+        for c, start in ((0, 1 - model.prior), (1, model.prior)):
+            for j in range(5):
+                above = int(row[model.parent[j]]) if model.parent[j] >= 0 else 0
+                start *= model.speaks[c, above, j] if row[j] else 1 - model.speaks[c, above, j]
+            weight.append(start)
+        assert abs(weight[1] / sum(weight) - p) < 1e-9
+
+
+def test_no_label_enters_a_posterior(spark, make_docs):
+    """Two documents of one text and different labels get one posterior, and so one score; a mislabelled one follows its voters."""
+    rows = [(k, "you are a stupid idiot, moron" if k % 2 else "the weather is fine today") for k in range(80)]
+    labels = spark.createDataFrame([(k, 1, k % 2 if k > 3 else 1 - k % 2) for k in range(80)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(make_docs(rows), labels)
+    assert {(r["doc_id"] % 2, r["score"] >= 0.5) for r in toxicity.score(make_docs(rows), model).collect()} == {(0, False), (1, True)}
+    assert {v[1] for v in model.voters} == {0, 1} and all(v[2] > 0.9 for v in model.voters if not v[0].startswith(("pattern", "clean")))
+
+
+def test_score_against_brute_force(spark, sf):
+    """Each text's features, found again one by one, and the sum of their weights."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    for r in toxicity.score(docs, model).collect():
+        total, low = model.bias, r["text"].lower()
+        whole = ["".join(g) for k, g in itertools.groupby(low, lambda ch: ch.isalnum() and not ch.isdigit() and ch.isalpha() and ch != "_") if k]
+        for name, weight in model.weights.items():
+            if name.startswith("pattern:"):
+                held = re.search(toxicity.PATTERNS[name[8:]], r["text"]) is not None
+            elif name.startswith("lexicon:"):
+                held = any(w in toxicity.LEXICONS[name[8:]].split() for w in whole)
+            elif name.endswith("*"):
+                held = any(w.startswith(name[:-1]) and len(w) > len(name) - 1 for w in whole)
+            else:
+                held = name in whole
+            total += weight if held else 0
+        assert abs(r["score"] - 1 / (1 + np.exp(-np.clip(total, -30, 30)))) < 1e-9
 
 
 def test_odd_rows_and_clashing_names(spark, make_docs, odd_rows):
@@ -40,7 +96,7 @@ def test_without_labels_or_rows(spark, make_docs):
 
 
 def test_other_columns_have_no_part(spark, make_docs):
-    model = toxicity.Model({"idiot": 3.0}, -1.0, [], np.zeros((0, 0)))
+    model = toxicity.Model({"idiot": 3.0}, -1.0, [], None)
     a, b = make_docs([(1, "an idiot")]), make_docs([(2, "an idiot")]).withColumn("lang", toxicity.F.lit("fr"))
     assert toxicity.score(a, model).first()["score"] == toxicity.score(b, model).first()["score"]
 
