@@ -48,3 +48,9 @@ def test_query(spark, sf):
     for r in queries.op8_distinct_word_bpe(spark, sf).collect():
         ids, text = brute(docs[r["doc_id"]])
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_a_bucket_of_more_words_than_are_kept(make_docs, odd_rows, monkeypatch):
+    want = sorted(map(tuple, bpe.encode_decode(make_docs(odd_rows), PATH).collect()), key=str)
+    monkeypatch.setattr(bpe, "WORDS_KEPT", 1)
+    assert sorted(map(tuple, bpe.encode_decode(make_docs(odd_rows), PATH).collect()), key=str) == want

@@ -52,3 +52,11 @@ def test_query(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted(tuple(r[c] for c in ("doc_id", "start", "n_tokens", "ids_crc32")) for r in queries.op2_orc_token_output(spark, sf).collect())
     assert got == sorted(expected(rows))
+
+
+def test_files_follow_each_other_by_part_number(spark):
+    """A part number of six digits sorts before some of five by name."""
+    files = [("part-00000-x.orc", 3), ("part-00002-x.orc", 1), ("part-10001-x.orc", 4), ("part-100000-x.orc", 5), ("part-100001-x.orc", 2)]
+    rows = [(k, 0, n, [7] * n, f) for k, (f, n) in enumerate(files)]
+    tokens = spark.createDataFrame(rows[::-1], "doc_id long, start_in_file long, n_tokens long, ids array<int>, file string")
+    assert sorted((r["doc_id"], r["start"]) for r in token_orc.token_digest(tokens).collect()) == [(0, 0), (1, 3), (2, 4), (3, 8), (4, 13)]

@@ -19,6 +19,8 @@ from tidemark.llm.shared import Workspace, give_back, over
 
 #: Text characters of a chunk; its distinct words and positions are one row.
 CHUNK_CHARS = 8 << 20
+#: Distinct words of a bucket that a task keeps with their ids; beyond, it starts anew and encodes some again.
+WORDS_KEPT = 2_000_000
 #: Rows of a batch that goes back to Spark.
 ROWS = 256
 #: White space as the pre-tokenizer's pattern has it (Unicode White_Space).
@@ -155,7 +157,7 @@ def _encode(path: str) -> object:
         model, table, current = tokenizer(path), {}, None
         for batch in batches:
             for row in batch.to_pylist():
-                if row["bucket"] != current:
+                if row["bucket"] != current or len(table) > WORDS_KEPT:
                     table, current = {}, row["bucket"]
                 ends = np.cumsum(_unpack(row["sizes"]), dtype=np.int64).tolist()
                 raw = zstandard.ZstdDecompressor().decompress(row["words"])
@@ -215,7 +217,8 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     1. Texts are split into words where a piece must end; a chunk of about 12 MB keeps its
        distinct words, by bucket of their hash, and each text as positions among them.
-    2. Buckets meet: each distinct word of all chunks is encoded once.
+    2. Buckets meet: each distinct word of all chunks is encoded once (again only where a bucket
+       has more than WORDS_KEPT of them; there are as many buckets as shuffle partitions).
     3. Ids return to their chunk, where positions put them in order; a join of ids and pieces
        decodes each word.
     The file is read on the executors, where `tokenizer_path` must be the same. Special tokens'

@@ -27,7 +27,8 @@ def collapse(conversations: DataFrame, id_col: str = "conv_id", turn_col: str =
     work = Workspace(conversations.sparkSession, "chat")
     columns = [F.col(id_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text")]
     order = ["conv_id", "turn", "role", "text"]
-    ranged = conversations.select(*columns).repartitionByRange("conv_id", "turn", "role", "text").sortWithinPartitions(*order)
+    # Bounds of the ranges are sampled to the driver: the start of a text will do for them, since it sorts as the text does.
+    ranged = conversations.select(*columns).repartitionByRange("conv_id", "turn", F.substring("role", 1, 32), F.substring("text", 1, 32)).sortWithinPartitions(*order)
     turns = work.cut(ranged.withColumn("range", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()), "turns")
     own = W.partitionBy("conv_id", "range").orderBy("row")
     here = turns.groupBy("conv_id", "range").agg(F.count("*").alias("c"))

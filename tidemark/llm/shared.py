@@ -69,6 +69,13 @@ def shared_root(spark: SparkSession) -> str:
     return _own_root
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme and authority that Spark's file system gives it, so that other readers find the same place."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toUri().toString()
+    return re.sub(r"^file:/+", "file:///", whole)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

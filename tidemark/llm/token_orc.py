@@ -128,9 +128,11 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def token_digest(tokens: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) from the files: start counts the ids of all rows before, over files in the order of their names."""
+    """(doc_id, start, n_tokens, ids_crc32) from the files: start counts the ids of all rows before, over files in the order of their part numbers."""
     totals = tokens.groupBy("file").agg(F.sum("n_tokens").alias("held"))
-    before = totals.select("file", (F.sum("held").over(W.orderBy("file")) - F.col("held")).alias("base"))
+    # Part numbers have five digits or more: names don't sort as they do. One row a file.
+    part = F.regexp_extract("file", r"^part-(\d+)-", 1).cast("long")
+    before = totals.select("file", (F.sum("held").over(W.orderBy(part, "file")) - F.col("held")).alias("base"))
     rows = tokens.select("file", "doc_id", "start_in_file", "n_tokens", "ids")
     sums = over(rows, _checksums, "file string, doc_id long, start_in_file long, n_tokens long, ids_crc32 long")
     return sums.join(before, "file").select("doc_id", (F.col("base") + F.col("start_in_file")).alias("start"), "n_tokens", "ids_crc32")

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import Workspace, only, over
+from tidemark.llm.shared import Workspace, only, over, qualified
 
 #: Compressed bytes after which a file is closed; one record may exceed it.
 ROLL_BYTES = 16 << 20
@@ -141,7 +141,7 @@ def _write(path: str, roll: int) -> object:
 
 
 def write_archives(pages: DataFrame, path: str, roll: int = ROLL_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Write one record per row to gzip WARC files below `path` (a URI that the executors' Arrow file systems know); returns the manifest.
+    """Write one record per row to gzip WARC files below `path` (where Spark has it; the executors' Arrow file systems must know its scheme); returns the manifest.
 
     Of equal payloads the smallest page id's record is the response and the others revisit it.
     Pages and the ids they refer to go through one range shuffle by page id, which sorts the
@@ -155,6 +155,7 @@ def write_archives(pages: DataFrame, path: str, roll: int = ROLL_BYTES, id_col:
     empty. An empty table has an empty manifest. Other columns are ignored.
     """
     spark = pages.sparkSession
+    path = qualified(spark, path)
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), F.unhex(F.sha1(html.cast("binary"))).alias("sha"))
     thin = rows.select("page_id", "sha")
