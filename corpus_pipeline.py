@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group. Rows without id or words are linked with nothing and stay; of rows that share an id one stays."""
+    """The document with the smallest id of each group. Rows without id or words are linked with nothing and stay; of rows that share an id the one stays whose text, then whose other columns in order, are smallest."""
     found = Workspace(spark, "pipeline").cut(neardup.near_duplicates(docs), "found")
     gone = found.where("NOT kept AND doc_id IS NOT NULL AND component_id IS NOT NULL").select("doc_id").distinct()
     if gone.count() <= BROADCAST_ROWS:
@@ -29,7 +29,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(kept.where("doc_id IS NULL"))
+    order = ["text", *[c for c in docs.columns if c not in ("doc_id", "text")]]
+    first = kept.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*order)).alias("row_of_id")).select("doc_id", "row_of_id.*").select(docs.columns)
+    return first.union(kept.where("doc_id IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
