@@ -528,17 +528,14 @@ class Compiler:
         return truthy(value) if isinstance(kind, T.BooleanType) else value.isNotNull()
 
     def _body(self, clauses: list, df: DataFrame | None, shared: list[str], rules: dict[str, DataFrame] | None) -> DataFrame:
-        """A body on its own if it binds what it needs, else seeded with the outer values that it needs."""
+        """A body on its own if it binds what it needs, else seeded with the outer values of all variables that it shares, so that what it needs comes joined to what it has."""
         try:
             return self.solve(clauses, None, rules)
         except Unbound as e:
-            needed = sorted({n for n in e.names if df is not None and n in df.columns} or {n for n in shared if df is not None and n in df.columns})
-            if not needed or df is None:
+            seed = sorted({n for n in e.names | set(shared) if df is not None and n in df.columns})
+            if not seed:
                 raise
-            try:
-                return self.solve(clauses, df.select(*[f"`{n}`" for n in needed]).distinct(), rules)
-            except Unbound:
-                return self.solve(clauses, df.select(*[f"`{n}`" for n in shared if n in df.columns]).distinct(), rules)
+            return self.solve(clauses, df.select(*[f"`{n}`" for n in seed]).distinct(), rules)
 
     def _or(self, x: Or, df: DataFrame | None, rules: dict[str, DataFrame] | None) -> DataFrame:
         names = sorted(variables(x))

@@ -111,6 +111,143 @@ def join4_groups(spark: SparkSession, d: str) -> DataFrame:
                [l :l_extendedprice p] [l :l_discount disc] [(>= date #inst "1997-10-01")] [(< date #inst "1998-01-01")] [(- 1 disc) keep] [(* p keep) r]]}""").select("c_custkey", "c_name", money("revenue"), money("c_acctbal"), "n_name")
 
 
+# Shapes over what a supplier has of a part, which the lines tell.
+
+_SUPPLY = "supply AS (SELECT l_partkey AS ps_part, l_suppkey AS ps_supp, min(l_extendedprice / l_quantity) AS ps_cost, sum(l_quantity) AS ps_avail FROM lineitem GROUP BY l_partkey, l_suppkey)"
+
+
+def stocked(spark: SparkSession, d: str, *names: str) -> Db:
+    db = database(spark, d, *names)
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_partkey").alias("ps_part"), F.col("l_suppkey").alias("ps_supp"))
+    supply = lines.agg(F.min(F.col("l_extendedprice") / F.col("l_quantity")).alias("ps_cost"), F.sum("l_quantity").alias("ps_avail"))
+    db.catalog.add(entity_table("supply", supply, None))
+    return db
+
+
+@register(f"""
+WITH {_SUPPLY}, near AS (SELECT * FROM supply JOIN supplier ON s_suppkey = ps_supp JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'EUROPE')
+SELECT p_partkey, s_suppkey, round(s_acctbal, 2) AS s_acctbal, n_name, round(ps_cost, 2) AS ps_cost FROM near x JOIN part ON p_partkey = ps_part
+WHERE p_size < 15 AND p_type LIKE '%MY' AND ps_cost = (SELECT min(ps_cost) FROM near y WHERE y.ps_part = x.ps_part)""")
+def cheapest_supply(spark: SparkSession, d: str) -> DataFrame:
+    """Who offers a part at its least price in a region: a correlated minimum."""
+    return stocked(spark, d, "part", "supplier", "nation", "region").df("""
+      {:find [p s bal nation cost] :keys [p_partkey s_suppkey s_acctbal n_name ps_cost]
+       :where [[p :p_size z] [(< z 15)] [p :p_type kind] [(re-find "MY$" kind)] [h :ps_part p] [h :ps_supp s] [h :ps_cost cost] [s :s_acctbal bal] [s :s_nationkey n] [n :n_name nation] [n :n_regionkey g] [g :r_name "EUROPE"]
+               [(q {:find [(min c)] :in [p] :where [[k :ps_part p] [k :ps_cost c] [k :ps_supp t] [t :s_nationkey m] [m :n_regionkey r] [r :r_name "EUROPE"]]} p) [[least]]] [(= cost least)]]}""").select("p_partkey", "s_suppkey", money("s_acctbal"), "n_name", money("ps_cost"))
+
+
+@register("""
+SELECT a.n_name AS supp_nation, b.n_name AS cust_nation, CAST(year(l_shipdate) AS INTEGER) AS l_year, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation a ON a.n_nationkey = s_nationkey JOIN nation b ON b.n_nationkey = c_nationkey
+WHERE ((a.n_name = 'NATION_3' AND b.n_name = 'NATION_7') OR (a.n_name = 'NATION_7' AND b.n_name = 'NATION_3')) AND l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate <= TIMESTAMP '1999-12-31' GROUP BY ALL""")
+def trade_by_year(spark: SparkSession, d: str) -> DataFrame:
+    """Trade between two nations, both ways."""
+    out = database(spark, d, "lineitem", "orders", "customer", "supplier", "nation").df("""
+      {:find [from to y (sum v)] :keys [supp_nation cust_nation l_year revenue]
+       :where [[l :l_orderkey o] [o :o_custkey c] [c :c_nationkey cn] [cn :n_name to] [l :l_suppkey s] [s :s_nationkey sn] [sn :n_name from]
+               (or (and [(= from "NATION_3")] [(= to "NATION_7")]) (and [(= from "NATION_7")] [(= to "NATION_3")]))
+               [l :l_shipdate day] [(>= day #inst "1996-01-01")] [(<= day #inst "1999-12-31")] [l :l_discount disc] [l :l_extendedprice price] [(- 1 disc) keep] [(* price keep) v] [(year day) y]]
+       :order-by [[from :asc] [to :asc] [y :asc]]}""")
+    return out.select("supp_nation", "cust_nation", F.col("l_year").cast("int").alias("l_year"), money("revenue"))
+
+
+@register("""
+SELECT CAST(year(o_orderdate) AS INTEGER) AS o_year, round(sum(CASE WHEN b.n_name = 'NATION_7' THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)), 6) AS mkt_share
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation a ON a.n_nationkey = c_nationkey JOIN region ON r_regionkey = a.n_regionkey
+JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation b ON b.n_nationkey = s_nationkey
+WHERE r_name = 'AMERICA' AND p_type = 'ECONOMY' AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '2000-01-01' GROUP BY 1""")
+def market_share(spark: SparkSession, d: str) -> DataFrame:
+    """A nation's share of a region's purchases: sums of a nested query, one of them of a looked-up value."""
+    out = database(spark, d, "lineitem", "orders", "customer", "supplier", "part", "nation", "region").df("""
+      {:find [y share] :keys [o_year mkt_share]
+       :where [[(q {:find [y (sum own) (sum v)]
+                    :where [[(q {:find [y (sum r) nation]
+                                 :where [[l :l_orderkey o] [l :l_suppkey s] [l :l_partkey p] [o :o_custkey c] [c :c_nationkey cn] [cn :n_regionkey g] [g :r_name "AMERICA"] [s :s_nationkey sn] [sn :n_name nation]
+                                         [p :p_type "ECONOMY"] [o :o_orderdate day] [(>= day #inst "1996-01-01")] [(< day #inst "2000-01-01")] [l :l_extendedprice price] [l :l_discount disc] [(- 1 disc) keep] [(* price keep) r] [(year day) y]]}) [[y v nation]]]
+                            [(hash-map "NATION_7" v) found] [(get found nation 0) own]]}) [[y mine all]]]
+               [(/ mine all) share]]
+       :order-by [[y :asc]]}""")
+    return out.select(F.col("o_year").cast("int").alias("o_year"), F.round("mkt_share", 6).alias("mkt_share"))
+
+
+@register(f"""
+WITH {_SUPPLY} SELECT n_name, CAST(year(o_orderdate) AS INTEGER) AS o_year, round(sum(l_extendedprice * (1 - l_discount) - ps_cost * l_quantity), 1) AS profit
+FROM lineitem JOIN supply ON ps_part = l_partkey AND ps_supp = l_suppkey JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN orders ON o_orderkey = l_orderkey
+WHERE p_name LIKE '%red%' GROUP BY ALL""")
+def profit_by_year(spark: SparkSession, d: str) -> DataFrame:
+    """A join by two keys, and a pattern."""
+    out = stocked(spark, d, "lineitem", "orders", "supplier", "part", "nation").df("""
+      {:find [nation y (sum gain)] :keys [n_name o_year profit]
+       :where [[l :l_orderkey o] [l :l_suppkey s] [l :l_partkey p] [h :ps_part p] [h :ps_supp s] [h :ps_cost cost] [s :s_nationkey n] [n :n_name nation] [p :p_name name] [(re-find "red" name)]
+               [l :l_quantity q] [l :l_discount disc] [l :l_extendedprice price] [o :o_orderdate day] [(- 1 disc) keep] [(* price keep) in] [(* cost q) out] [(- in out) gain] [(year day) y]]
+       :order-by [[nation :asc] [y :desc]]}""")
+    return out.select("n_name", F.col("o_year").cast("int").alias("o_year"), money("profit", 1))
+
+
+@register(f"""
+WITH {_SUPPLY}, held AS (SELECT ps_part, sum(ps_cost * ps_avail) AS worth FROM supply JOIN supplier ON s_suppkey = ps_supp JOIN nation ON n_nationkey = s_nationkey WHERE n_name = 'NATION_3' GROUP BY ps_part)
+SELECT ps_part AS p_partkey, round(worth, 1) AS worth FROM held WHERE worth > (SELECT 0.002 * sum(worth) FROM held)""")
+def important_stock(spark: SparkSession, d: str) -> DataFrame:
+    """Parts that make up much of a nation's stock: a group's sum against a share of the whole."""
+    return stocked(spark, d, "supplier", "nation").df("""
+      {:find [p worth] :keys [p_partkey worth]
+       :where [[(q {:find [(sum x)] :where [[h :ps_avail a] [h :ps_cost c] [h :ps_supp s] [h :ps_part p] [s :s_nationkey n] [n :n_name "NATION_3"] [(* c a) x]]}) [[whole]]]
+               [(q {:find [p (sum x)] :where [[h :ps_avail a] [h :ps_cost c] [h :ps_supp s] [h :ps_part p] [s :s_nationkey n] [n :n_name "NATION_3"] [(* c a) x]]}) [[p worth]]]
+               [(* 0.002 whole) least] [(> worth least)]]
+       :order-by [[worth :desc]]}""").select("p_partkey", money("worth", 1))
+
+
+@register("""
+SELECT l_returnflag, CAST(sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS BIGINT) AS high, CAST(sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 0 ELSE 1 END) AS BIGINT) AS low
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag IN ('A', 'R') AND l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1998-01-01' AND o_orderdate < l_shipdate GROUP BY l_returnflag""")
+def priority_by_flag(spark: SparkSession, d: str) -> DataFrame:
+    """Counts by a table of values within the query, bound as a tuple."""
+    out = database(spark, d, "lineitem", "orders").df("""
+      {:find [f (sum high) (sum low)] :keys [l_returnflag high low]
+       :where [[l :l_orderkey o] [l :l_shipdate ship] [l :l_returnflag f] [l :l_returnflag #{"A" "R"}] [l :l_linenumber k] [o :o_orderpriority pri] [o :o_orderdate day]
+               [(>= ship #inst "1997-01-01")] [(< ship #inst "1998-01-01")] [(< day ship)] [(get {"1-URGENT" [1 0] "2-HIGH" [1 0]} pri [0 1]) [high low]]]
+       :order-by [[f :asc]]}""")
+    return out.select("l_returnflag", F.col("high").cast("long").alias("high"), F.col("low").cast("long").alias("low"))
+
+
+@register("""
+SELECT round(100 * sum(CASE WHEN p_type LIKE 'PROMO%' THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)), 4) AS promo
+FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_shipdate >= TIMESTAMP '1998-09-01' AND l_shipdate < TIMESTAMP '1998-10-01'""")
+def promo_share(spark: SparkSession, d: str) -> DataFrame:
+    return database(spark, d, "lineitem", "part").df("""
+      {:find [promo] :keys [promo]
+       :where [[(q {:find [(sum some) (sum v)]
+                    :where [[l :l_partkey p] [p :p_type kind] [l :l_shipdate ship] [l :l_extendedprice price] [l :l_discount disc] [(>= ship #inst "1998-09-01")] [(< ship #inst "1998-10-01")] [(- 1 disc) keep] [(* price keep) v]
+                            [(clojure.string/starts-with? kind "PROMO") promo?] [(hash-map true v) found] [(get found promo? 0) some]]}) [[part whole]]]
+               [(/ part whole) share] [(* 100 share) promo]]}""").select(F.round("promo", 4).alias("promo"))
+
+
+@register(f"""
+WITH {_SUPPLY} SELECT DISTINCT s_name FROM supply x JOIN part ON p_partkey = ps_part JOIN supplier ON s_suppkey = ps_supp JOIN nation ON n_nationkey = s_nationkey
+WHERE p_name LIKE 'red%' AND n_regionkey = 1 AND ps_avail > (SELECT 0.9 * sum(l_quantity) FROM lineitem WHERE l_partkey = ps_part AND l_suppkey = ps_supp AND l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1999-01-01')""")
+def excess_stock(spark: SparkSession, d: str) -> DataFrame:
+    """A sub-query that depends on two values of the outer one."""
+    return stocked(spark, d, "lineitem", "part", "supplier", "nation").df("""
+      {:find [name] :keys [s_name]
+       :where [[h :ps_supp s] [h :ps_part p] [h :ps_avail avail] [p :p_name kind] [(re-find "^red" kind)] [s :s_name name] [s :s_nationkey n] [n :n_regionkey 1]
+               [(q {:find [(sum q)] :in [p s] :where [[l :l_partkey p] [l :l_suppkey s] [l :l_quantity q] [l :l_orderkey o] [l :l_shipdate ship] [(>= ship #inst "1996-01-01")] [(< ship #inst "1999-01-01")]]} p s) [[sold]]]
+               [(* sold 0.9) least] [(> avail least)]]}""")
+
+
+@register("""
+SELECT s_name, count(*) AS n FROM lineitem x JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN nation ON n_nationkey = s_nationkey
+WHERE o_orderstatus = 'F' AND l_returnflag = 'R' AND n_regionkey = 2 AND EXISTS (SELECT 1 FROM lineitem y WHERE y.l_orderkey = x.l_orderkey AND y.l_suppkey <> x.l_suppkey)
+AND NOT EXISTS (SELECT 1 FROM lineitem z WHERE z.l_orderkey = x.l_orderkey AND z.l_suppkey <> x.l_suppkey AND z.l_returnflag = 'R') GROUP BY s_name ORDER BY n DESC, s_name LIMIT 100""")
+def lone_returns(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers whose lines alone came back of orders that others had a part in: exists and not exists by two values."""
+    return database(spark, d, "lineitem", "orders", "supplier", "nation").df("""
+      {:find [name (count k)] :keys [s_name n]
+       :where [[l :l_suppkey s] [l :l_orderkey o] [l :l_linenumber k] [l :l_partkey part] [l :l_returnflag "R"] [s :s_name name] [s :s_nationkey n] [n :n_regionkey 2] [o :o_orderstatus "F"]
+               (or-join [o s] (and [y :l_orderkey o] [y :l_suppkey other] [(!= other s)]))
+               (not-join [o s] [z :l_orderkey o] [z :l_suppkey other] [z :l_returnflag "R"] [(!= other s)])]
+       :order-by [[(count k) :desc] [name :asc]] :limit 100}""")
+
+
 # Alternatives, negation, semi-joins.
 
 
@@ -245,9 +382,11 @@ def agg_distinct(spark: SparkSession, d: str) -> DataFrame:
     return out.select("n_regionkey", F.to_json(F.array_sort("names")).alias("names"))
 
 
-@register("SELECT count(*) AS n FROM (SELECT 1 WHERE 1 = 0) t HAVING count(*) > 0")
+@register("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice < (SELECT min(o_totalprice) FROM orders WHERE o_orderstatus = 'P') GROUP BY o_orderstatus")
 def agg_empty(spark: SparkSession, d: str) -> DataFrame:
-    return database(spark, d, "orders").df("{:find [(count o)] :keys [n] :where [[o :o_totalprice t] [(< t -1)]]}")
+    """A group without rows is no group: no order of status P is below the least of its own."""
+    return database(spark, d, "orders").df("""
+      {:find [s (count o)] :keys [o_orderstatus n] :where [[o :o_totalprice t] [o :o_orderstatus s] [(q {:find [(min x)] :where [[y :o_totalprice x] [y :o_orderstatus "P"]]}) [[least]]] [(< t least)]]}""")
 
 
 # Inputs.
@@ -281,9 +420,9 @@ def str_math_date_fns(spark: SparkSession, d: str) -> DataFrame:
                [(year #inst "2001-02-03") y] [(count t) len] [(starts-with? t "S") s]]}""")
 
 
-@register("SELECT event_id, user_id, event_type FROM events WHERE event_id % 100 = 0")
+@register("SELECT event_id, user_id, event_type FROM events")
 def tuple_binding(spark: SparkSession, d: str) -> DataFrame:
-    return database(spark, d, "events").df("{:find [e u k] :keys [event_id user_id event_type] :where [[e :user_id u0] [e :event_type k0] [(mod e 100) r] [(== r 0)] [(identity u0) u] [(vector k0) [k]]]}")
+    return database(spark, d, "events").df("{:find [e u k] :keys [event_id user_id event_type] :where [[e :user_id u0] [e :event_type k0] [(identity u0) u] [(vector k0) [k]]]}")
 
 
 # Sets, bags, paging.
@@ -354,41 +493,46 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 # Rules.
 
-_EDGES = "SELECT n_nationkey AS a, (n_nationkey * 3 + 1) % 25 AS b FROM nation WHERE n_nationkey % 4 <> 0"
+_EDGES = "SELECT p_partkey AS a, p_partkey // 3 AS b FROM part"
 
 
 def graph(spark: SparkSession, d: str) -> Db:
-    edges = spark.read.parquet(f"{d}/nation.parquet").where("n_nationkey % 4 <> 0").select(F.col("n_nationkey").cast("long").alias("a"), ((F.col("n_nationkey") * 3 + 1) % 25).cast("long").alias("b"))
+    """Parts as a tree that grows with the table: part n hangs on part n // 3, the root on itself."""
+    edges = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("a"), F.expr("p_partkey div 3").alias("b"), "p_brand")
     return Db(spark, Catalog().add(entity_table("edges", edges, "a")))
 
 
-@register(f"WITH RECURSIVE e AS ({_EDGES}), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM r")
+@register(f"WITH RECURSIVE e AS ({_EDGES}), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a, b FROM r")
 def rule_recursive(spark: SparkSession, d: str) -> DataFrame:
     return graph(spark, d).df("{:find [a b] :where [(reaches a b)] :rules [[(reaches a b) [a :b b]] [(reaches a b) (reaches a x) (reaches x b)]]}")
 
 
-@register(f"WITH RECURSIVE e AS ({_EDGES}), r(a, b, odd) AS (SELECT a, b, 1 FROM e UNION SELECT r.a, e.b, 1 - r.odd FROM r JOIN e ON r.b = e.a) SELECT DISTINCT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM r WHERE odd = 0")
+@register(f"WITH RECURSIVE e AS ({_EDGES}), r(a, b, odd) AS (SELECT a, b, 1 FROM e UNION SELECT r.a, e.b, 1 - r.odd FROM r JOIN e ON r.b = e.a) SELECT DISTINCT a, b FROM r WHERE odd = 0")
 def rule_mutual(spark: SparkSession, d: str) -> DataFrame:
     return graph(spark, d).df("{:find [a b] :where [(even a b)] :rules [[(odd a b) [a :b b]] [(odd a b) (even a x) [x :b b]] [(even a b) (odd a x) [x :b b]]]}")
 
 
-@register(f"WITH RECURSIVE e AS ({_EDGES}), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT CAST(x.a AS BIGINT) AS a, CAST(y.a AS BIGINT) AS b FROM e x, e y WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.a = x.a AND r.b = y.a)")
+@register(f"WITH RECURSIVE e AS ({_EDGES}), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a FROM e WHERE NOT EXISTS (SELECT 1 FROM r JOIN part ON p_partkey = r.b WHERE r.a = e.a AND p_brand = 'Brand#7')")
 def rule_negation(spark: SparkSession, d: str) -> DataFrame:
+    """Parts above which there is none of a brand."""
     return graph(spark, d).df("""
-      {:find [a b] :where [(apart a b)]
-       :rules [[(reaches a b) [a :b b]] [(reaches a b) (reaches a x) (reaches x b)] [(apart a b) [a :b _] [b :b _] (not (reaches a b))]]}""")
+      {:find [a] :where [(free a)]
+       :rules [[(reaches a b) [a :b b]] [(reaches a b) (reaches a x) [x :b b]] [(branded a) (reaches a x) [x :p_brand "Brand#7"]] [(free a) [a :b _] (not (branded a))]]}""")
 
 
 # Pull.
 
 
 @register("""
-SELECT o_orderkey, c_name, n_name, coalesce(CASE WHEN o_totalprice > 1e9 THEN 'x' END, 'none') AS note FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderstatus = 'P'""")
+SELECT o_orderkey, c_name, n_name, CASE WHEN c_acctbal > 5000 THEN 'rich' ELSE 'none' END AS note FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderstatus = 'P'""")
 def pull_forward(spark: SparkSession, d: str) -> DataFrame:
-    db = database(spark, d, "orders", "customer", "nation")
+    """Along references, with a default where a customer lacks the attribute."""
+    db = database(spark, d, "orders", "nation")
+    customers = spark.read.parquet(f"{d}/customer.parquet").withColumn("c_note", F.when(F.col("c_acctbal") > 5000, "rich"))
+    db.catalog.add(entity_table("customer", customers, "c_custkey"))
     ids = db.df('{:find [o] :keys [eid] :where [[o :o_orderstatus "P"]]}')
-    pulled = pull_columns(db.catalog, ids, "[:o_orderkey {:o_custkey [:c_name {:c_nationkey [:n_name]}]}]")
-    return pulled.select(F.col("eid").alias("o_orderkey"), F.col("pulled.o_custkey.c_name"), F.col("pulled.o_custkey.c_nationkey.n_name"), F.lit("none").alias("note"))
+    pulled = pull_columns(db.catalog, ids, '[:o_orderkey {:o_custkey [:c_name (:c_note {:default "none"}) {:c_nationkey [:n_name]}]}]')
+    return pulled.select(F.col("eid").alias("o_orderkey"), F.col("pulled.o_custkey.c_name"), F.col("pulled.o_custkey.c_nationkey.n_name"), F.col("pulled.o_custkey.c_note").alias("note"))
 
 
 @register("SELECT r_name, to_json(list_sort(list(n_name))) AS nations FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
@@ -412,22 +556,27 @@ def text_search(spark: SparkSession, d: str) -> DataFrame:
 # Statistics, windows, grouping sets.
 
 
-@register("SELECT 'o_custkey' AS attr, count(o_custkey) AS n FROM orders UNION ALL SELECT 'o_totalprice', count(o_totalprice) FROM orders UNION ALL SELECT 'o_orderstatus', count(o_orderstatus) FROM orders")
+@register(" UNION ALL ".join(f"SELECT '{c}' AS attr, count({c}) AS n FROM orders" for c in ("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderdate", "o_orderpriority")))
 def attribute_stats(spark: SparkSession, d: str) -> DataFrame:
-    table = database(spark, d, "orders").catalog.tables["orders"]
-    counted = table.df.agg(*[F.sum(table.present(a).cast("long")).alias(a) for a in ("o_custkey", "o_totalprice", "o_orderstatus")])
-    return counted.unpivot([], ["o_custkey", "o_totalprice", "o_orderstatus"], "attr", "n")
+    return spark.createDataFrame(sorted(database(spark, d, "orders").attribute_stats().items()), "attr string, n long")
 
 
-@register("SELECT * FROM (SELECT c_nationkey, c_custkey, round(c_acctbal, 2) AS c_acctbal, CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS BIGINT) AS r FROM customer) WHERE r <= 3")
+@register("SELECT * FROM (SELECT c_nationkey, c_custkey, round(c_acctbal, 2) AS c_acctbal, CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY customer.c_acctbal DESC, c_custkey) AS BIGINT) AS r FROM customer WHERE c_mktsegment <> 'BUILDING') WHERE r <= 3")
 def window_rank(spark: SparkSession, d: str) -> DataFrame:
-    spark.read.parquet(f"{d}/customer.parquet").createOrReplaceTempView("window_rank_customer")
-    return spark.sql("SELECT * FROM (SELECT c_nationkey, c_custkey, round(c_acctbal, 2) AS c_acctbal, CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS BIGINT) AS r FROM window_rank_customer) WHERE r <= 3")
+    """A window over a table that a query defines, with a parameter."""
+    sql = Sql(spark, lambda **_: database(spark, d, "customer"))
+    sql.create_table("richest", '{:find [?n ?c ?b] :where [[?c :c_nationkey ?n] [?c :c_acctbal ?b] [?c :c_mktsegment ?s] [(!= ?s "BUILDING")]]}', {"?n": "bigint", "?c": "bigint", "?b": "double"})
+    out = sql.sql("SELECT * FROM (SELECT n, c, {fn ROUND(b, 2)} AS b, rank() OVER (PARTITION BY n ORDER BY richest.b DESC, c) AS r FROM richest) WHERE r <= ?", [3])
+    return out.select(F.col("n").cast("int").alias("c_nationkey"), F.col("c").alias("c_custkey"), F.col("b").alias("c_acctbal"), F.col("r").cast("long").alias("r"))
 
 
-@register("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+@register("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem WHERE l_quantity >= 10 GROUP BY CUBE (l_returnflag, l_linestatus)")
 def cube_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/lineitem.parquet").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("q"))
+    """Grouping sets over a table that a query defines as a bag."""
+    sql = Sql(spark, lambda **_: database(spark, d, "lineitem"))
+    query = "{:find [?flag ?status ?part ?supp ?q (count ?p)] :keys [flag status part supp q times] :where [[?l :l_returnflag ?flag] [?l :l_linestatus ?status] [?l :l_quantity ?q] [?l :l_partkey ?part] [?l :l_suppkey ?supp] [?l :l_extendedprice ?p] [(>= ?q 10)]]}"
+    sql.create_table("lines", query, {"flag": "varchar", "status": "varchar", "q": "double", "times": "bigint"})
+    return sql.sql("SELECT flag AS l_returnflag, status AS l_linestatus, sum(times) AS n, round(sum(q * times), 2) AS q FROM lines GROUP BY CUBE (flag, status)")
 
 
 @register("SELECT event_type, count(*) AS n FROM (SELECT arg_max(event_type, (ts, event_id)) AS event_type FROM events WHERE ts <= TIMESTAMP '2024-01-10' AND user_id > 20 GROUP BY user_id) GROUP BY event_type")
@@ -496,7 +645,7 @@ def sparql_filter(spark: SparkSession, d: str) -> DataFrame:
     return database(spark, d, "customer", "orders").df(query, *args)
 
 
-@register(f"WITH RECURSIVE e AS ({_EDGES}), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM r WHERE b < 10")
+@register(f"WITH RECURSIVE e AS ({_EDGES}), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a, b FROM r WHERE b < 10")
 def sparql_path(spark: SparkSession, d: str) -> DataFrame:
     query, args = translate("SELECT ?a ?b WHERE { ?a <b>+ ?b . FILTER(?b < 10) }")
     return graph(spark, d).df(query, *args)
@@ -523,10 +672,11 @@ def connect_records(spark: SparkSession, d: str) -> DataFrame:
     return records_to_ops(records).select("eid", "op")
 
 
-@register("SELECT o_orderstatus, CAST(count(DISTINCT o_custkey) > 0 AS BOOLEAN) AS some FROM orders GROUP BY o_orderstatus")
+@register("SELECT o_orderstatus, count(DISTINCT o_custkey) AS exact, true AS near FROM orders GROUP BY o_orderstatus")
 def approx_distinct(spark: SparkSession, d: str) -> DataFrame:
-    out = database(spark, d, "orders").df("{:find [s (approx-count-distinct c)] :keys [o_orderstatus n] :where [[o :o_orderstatus s] [o :o_custkey c]]}")
-    return out.select("o_orderstatus", (F.col("n") > 0).alias("some"))
+    """The estimate lies within three standard errors (5 % each) of the exact count."""
+    out = database(spark, d, "orders").df("{:find [s (approx-count-distinct c) (count-distinct c)] :keys [o_orderstatus about exact] :where [[o :o_orderstatus s] [o :o_custkey c]]}")
+    return out.select("o_orderstatus", "exact", (F.abs(F.col("about") - F.col("exact")) <= 0.15 * F.col("exact")).alias("near"))
 
 
 @register("""
@@ -546,13 +696,13 @@ def in_tuple_scalar(spark: SparkSession, d: str) -> DataFrame:
     return out.select("c_custkey", money("c_acctbal"))
 
 
-@register("SELECT n, f FROM (VALUES (1, 1), (5, 5), (10, 55), (15, 610)) v(n, f)")
+@register("WITH RECURSIVE f(n, x, y) AS (SELECT 0, 0, 1 UNION ALL SELECT n + 1, y, x + y FROM f WHERE n < 12) SELECT p_partkey, CAST(x AS BIGINT) AS f FROM part JOIN f ON n = p_size % 13")
 def rule_demand(spark: SparkSession, d: str) -> DataFrame:
     """Computed recursion: the arguments asked for are found first."""
-    out = database(spark, d, "region").df("""
-      {:find [n f] :in [[n ...]] :where [(fib n f)]
-       :rules [[(fib [n] f) [(<= n 1)] [(identity n) f]] [(fib [n] f) [(> n 1)] [(- n 1) a] [(- n 2) b] (fib a x) (fib b y) [(+ x y) f]]]}""", [1, 5, 10, 15])
-    return out.select(F.col("n").cast("int").alias("n"), F.col("f").cast("int").alias("f"))
+    out = database(spark, d, "part").df("""
+      {:find [p f] :keys [p_partkey f] :where [[p :p_size z] [(mod z 13) n] (fib n f)]
+       :rules [[(fib [n] f) [(<= n 1)] [(identity n) f]] [(fib [n] f) [(> n 1)] [(- n 1) a] [(- n 2) b] (fib a x) (fib b y) [(+ x y) f]]]}""")
+    return out.select("p_partkey", F.col("f").cast("long").alias("f"))
 
 
 @register("SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity >= 50 AND l_returnflag = 'R')")
@@ -577,13 +727,13 @@ def agg_custom(spark: SparkSession, d: str) -> DataFrame:
     return db.df("{:find [f (sum-of-squares q)] :keys [l_returnflag squares] :where [[l :l_returnflag f] [l :l_quantity q]]}").select("l_returnflag", money("squares"))
 
 
-@register("SELECT p_partkey, 'B-' || substr(p_brand, 7) AS code FROM part WHERE p_size >= 10 AND p_size <= 12")
+@register("SELECT p_partkey, 'B-' || substr(p_brand, 7) AS code FROM part")
 def udf_scalar(spark: SparkSession, d: str) -> DataFrame:
     """A function of the user's own, by name and on the allow-list."""
     db = database(spark, d, "part")
     db.functions["shop/code"] = lambda brand: F.concat(F.lit("B-"), F.substring(brand, 7, 100))
     db.allowed = {"shop"}
-    return db.df("{:find [p code] :keys [p_partkey code] :where [[p :p_brand b] [p :p_size z] [(<= 10 z 12)] [(shop/code b) code]]}")
+    return db.df("{:find [p code] :keys [p_partkey code] :where [[p :p_brand b] [(shop/code b) code]]}")
 
 
 @register("SELECT c_nationkey AS n FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT s_nationkey FROM supplier EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 0")
