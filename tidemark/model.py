@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from datetime import datetime
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,7 +60,10 @@ class Basis:
 
 @dataclass
 class Catalog:
+    """Entity tables, and a stored full-text index of their values (tidemark.operators.text.TextIndex), if there is one."""
+
     tables: dict[str, EntityTable] = field(default_factory=dict)
+    text: Any = None
 
     def add(self, table: EntityTable) -> Catalog:
         self.tables[table.name] = table

@@ -1,18 +1,24 @@
-"""Full-text predicates over an inverted index: terms, prefixes, wildcards, boolean queries; scores by BM25."""
+"""Full-text predicates over an inverted index, made on the spot or stored: terms, phrases, prefixes, wildcards, fuzzy terms, ranges, boosts, boolean queries; scores by BM25."""
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.edn import Keyword
 from tidemark.model import Catalog
 from tidemark.plans.parse import Pred
+from tidemark.sources.stores import TableStore
 
 K1, B = 1.2, 0.75
+#: One value of an entity's attribute; `vh` is a hash of the text, which itself never leaves its table.
+UNIT = ["attr", "e", "vh"]
+#: A value that is a keyword and nothing else is no text.
+_KEYWORD = r"^:[^\s:]+$"
 
 
 def analyze(text: Column) -> Column:
@@ -20,8 +26,8 @@ def analyze(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def index(catalog: Catalog, attribute: str | None = None) -> DataFrame:
-    """(attr, e, v, term, tf, size) of every string attribute, or of one; keywords (`:name`) are no text."""
+def facts(catalog: Catalog, attribute: str | None = None) -> DataFrame:
+    """(attr, e, vh, v) of every string attribute, or of one."""
     out = None
     for table in catalog.tables.values():
         if table.eid is None:
@@ -33,39 +39,103 @@ def index(catalog: Catalog, attribute: str | None = None) -> DataFrame:
             if kind not in ("string", "array<string>"):
                 continue
             value = F.explode(F.array_distinct(column)) if kind.startswith("array") else F.col(column)
-            facts = table.df.select(F.lit(name).alias("attr"), F.col(table.eid).cast("string").alias("e"), value.alias("v")).where("v NOT LIKE ':%'")
-            out = facts if out is None else out.unionByName(facts)
+            found = table.df.select(F.lit(name).alias("attr"), F.col(table.eid).cast("string").alias("e"), value.alias("v")).where(~F.col("v").rlike(_KEYWORD))
+            out = found if out is None else out.unionByName(found)
     if out is None:
         raise ValueError(f"no text attribute {attribute or ''}")
-    terms = out.withColumn("terms", analyze(F.col("v"))).withColumn("size", F.size("terms"))
-    return terms.select("attr", "e", "v", "size", F.explode("terms").alias("term")).groupBy("attr", "e", "v", "size", "term").agg(F.count("*").alias("tf"))
+    return out.select("attr", "e", F.xxhash64("v").alias("vh"), "v")
+
+
+def postings_of(texts: DataFrame) -> DataFrame:
+    """(attr, e, vh, size, term, tf, at): how often and where each term is in each value. All terms of a value are in one task before the shuffle, so only distinct ones go through it."""
+    terms = texts.withColumn("terms", analyze(F.col("v"))).select(*UNIT, F.size("terms").alias("size"), F.posexplode("terms").alias("at", "term"))
+    return terms.groupBy(*UNIT, "size", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("at"))
+
+
+def index(catalog: Catalog, attribute: str | None = None) -> DataFrame:
+    """The postings of every string attribute, or of one."""
+    return postings_of(facts(catalog, attribute))
+
+
+# Queries.
 
 
-@dataclass
+@dataclass(eq=False)
 class Term:
+    """A word, a pattern with * and ?, a fuzzy word (`edits`), a range of words (`low`, `high`: None is open), or a phrase of several `words` with up to `slop` words more between them."""
+
     text: str
     field: str | None = None
+    boost: float = 1.0
+    edits: int = 0
+    low: tuple[str, bool] | None = None
+    high: tuple[str, bool] | None = None
+    words: tuple[str, ...] = ()
+    slop: int = 0
 
     def matches(self, term: Column) -> Column:
+        if self.words:
+            return term.isin(*self.words)
+        if self.low is not None or self.high is not None:
+            above = F.lit(True) if self.low is None else term >= self.low[0] if self.low[1] else term > self.low[0]
+            return above & (F.lit(True) if self.high is None else term <= self.high[0] if self.high[1] else term < self.high[0])
+        if self.edits:
+            return F.levenshtein(term, F.lit(self.text), self.edits) >= 0
         if re.search(r"[*?]", self.text):
             if re.fullmatch(r"[^*?]+\*", self.text):
                 return term.startswith(self.text[:-1])
             return term.rlike("^" + "".join(".*" if ch == "*" else "." if ch == "?" else re.escape(ch) for ch in self.text) + "$")
         return term == self.text
 
+    def here(self) -> Column:
+        held = self.matches(F.col("term"))
+        return held if self.field is None else held & (F.col("attr") == self.field)
+
+
+_TOKEN = re.compile(r'\(|\)(?:\^[\d.]+)?|(?:[^\s()":]+:)?"[^"]*"(?:~\d+)?(?:\^[\d.]+)?|(?:[^\s()":]+:)?[\[{][^\]}]*[\]}](?:\^[\d.]+)?|[^\s()]+')
+
+
+def _leaf(token: str) -> tuple:
+    name, text = None, token
+    if m := re.match(r'([^\s():"\[{]+):(.+)$', token):
+        name, text = m[1], m[2]
+    boost = 1.0
+    if m := re.search(r"\^([\d.]+)$", text):
+        text, boost = text[: m.start()], float(m[1])
+    if m := re.fullmatch(r"([\[{])\s*(\S+)\s+TO\s+(\S+)\s*([\]}])", text):
+        bound = lambda word, closed: None if word == "*" else (word.strip('"').lower(), closed)
+        return "term", [Term(text, name, boost, low=bound(m[2], m[1] == "["), high=bound(m[3], m[4] == "]"))]
+    if m := re.fullmatch(r'"([^"]*)"(?:~(\d+))?', text):
+        words = tuple(re.findall(r"[^\W_]+", m[1].lower()))
+        return "term", [Term(words[0] if words else "", name, boost) if len(words) < 2 else Term(m[1], name, boost, words=words, slop=int(m[2] or 0))]
+    text = text.strip('"').lower()
+    if m := re.fullmatch(r"([^\W_]+)~(\d?)(?:\.\d+)?", text):
+        return "term", [Term(m[1], name, boost, edits=int(m[2] or 2))]
+    words = re.findall(r"[^\W_*?]+[*?\w]*|[*?]\w*", text) or [text]
+    terms = [("term", [Term(w, name, boost)]) for w in words]
+    return terms[0] if len(terms) == 1 else ("and", terms)
+
 
 def parse_text(query: str) -> tuple:
-    """("or" | "and" | "not", parts) over Terms: AND, OR, NOT, +, -, parentheses, field:term; terms side by side are alternatives."""
-    tokens = re.findall(r"\(|\)|\"[^\"]*\"|[^\s()]+", query)
+    """("or" | "and" | "not", parts) over Terms: AND, OR, NOT, +, -, parentheses, field:term, "a phrase"~slop, term~edits, [a TO b], {a TO b}, ^boost; terms side by side are alternatives, unless some are marked with + or -."""
+    tokens = _TOKEN.findall(query)
     at = 0
 
     def either() -> tuple:
         nonlocal at
-        parts = [both()]
-        while at < len(tokens) and tokens[at] != ")":
+        parts, must, never = [], [], []
+        while at < len(tokens) and not tokens[at].startswith(")"):
             if tokens[at] in ("OR", "||"):
                 at += 1
-            parts.append(both())
+                continue
+            sign = tokens[at][0] if tokens[at][0] in "+-" and len(tokens[at]) > 1 else ""
+            part = both()
+            (must if sign == "+" else never if sign == "-" else parts).append(part)
+        if must or (never and parts):
+            # Without a + the others are alternatives; with one they add to the score only.
+            wanted = must if must else [parts[0] if len(parts) == 1 else ("or", parts)]
+            return "and", [*wanted, *never, *([("may", parts)] if must and parts else [])]
+        parts += never
         return parts[0] if len(parts) == 1 else ("or", parts)
 
     def both() -> tuple:
@@ -84,16 +154,14 @@ def parse_text(query: str) -> tuple:
             return "not", [one()]
         if token == "(":
             inner = either()
+            boost = float(tokens[at][2:]) if at < len(tokens) and "^" in tokens[at] else 1.0
             at += 1
+            for t, _ in _terms(inner):
+                t.boost *= boost
             return inner
         if token.startswith("-") and len(token) > 1:
-            return "not", [("term", [Term(token[1:].lower())])]
-        token = token.lstrip("+")
-        name, colon, rest = token.partition(":")
-        text = (rest if colon else token).strip('"').lower()
-        words = re.findall(r"[^\W_*?]+[*?\w]*|[*?]\w*", text) or [text]
-        terms = [("term", [Term(w, name if colon else None)]) for w in words]
-        return terms[0] if len(terms) == 1 else ("and", terms)
+            return "not", [_leaf(token[1:])]
+        return _leaf(token.lstrip("+"))
 
     return either()
 
@@ -109,37 +177,131 @@ def _holds(tree: tuple, flags: dict[int, Column]) -> Column:
     kind, parts = tree
     if kind == "term":
         return flags[id(parts[0])]
+    if kind == "may":
+        return F.lit(True)
     inner = [_holds(p, flags) for p in parts]
     if kind == "not":
         return ~inner[0]
-    out = inner[0]
-    for x in inner[1:]:
-        out = out & x if kind == "and" else out | x
-    return out
+    return reduce(lambda a, b: a & b if kind == "and" else a | b, inner)
+
+
+def _phrase(places: Column, term: Term) -> Column:
+    """How often the phrase is there: places of its first word after which the others follow in order, with `slop` words more at most."""
+
+    def after(word: str, before: Column, most: Column) -> Column:
+        return F.array_min(F.filter(F.element_at(places, F.lit(word)), lambda x: (x > before) & (x <= most)))
+
+    def starts(p: Column) -> Column:
+        last = p
+        for k, word in enumerate(term.words[1:], 1):
+            last = after(word, last, p + F.lit(k + term.slop))
+        return last.isNotNull()
 
+    whole = reduce(lambda a, b: a & b, [F.map_contains_key(places, w) for w in dict.fromkeys(term.words)])
+    return F.when(whole, F.size(F.filter(F.element_at(places, F.lit(term.words[0])), starts))).otherwise(0)
 
-def search(postings: DataFrame, query: str, keys: list[str]) -> DataFrame:
+
+def search(postings: DataFrame, query: str, keys: list[str], totals: DataFrame | None = None) -> DataFrame:
     """(keys..., score) of the units, one for each value of `keys`, that satisfy the query.
 
-    Only postings of the query's terms leave the scan; their statistics are aggregates of the
-    index, joined as one row.
+    Only postings of the query's terms leave the scan. Rarities come from these; `totals` (n, mean)
+    of all units, if not given, from the postings. A phrase weighs as the sum of its words'
+    rarities, at its own frequency.
     """
     tree = parse_text(query)
-    terms = _terms(tree)
-    marks = [(F.lit(True) if t.field is None else F.col("attr") == t.field) & t.matches(F.col("term")) for t, _ in terms]
-    any_term = marks[0]
-    for m in marks[1:]:
-        any_term = any_term | m
-    units = postings.select(*keys, "size").distinct()
-    totals = units.agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
-    hits = postings.where(any_term)
-    rarity = hits.groupBy("term").agg(F.count_distinct(*keys).alias("df"))
-    scored = hits.join(rarity, "term").crossJoin(F.broadcast(totals))
+    terms = [t for t, _ in _terms(tree)]
+    counted = {k for k, (_, wanted) in enumerate(_terms(tree)) if wanted}
+    hits = postings.where(reduce(lambda a, b: a | b, [t.here() for t in terms]))
+    if totals is None:
+        units = postings.groupBy(*keys).agg(F.max("size").alias("size"))
+        totals = units.agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
+    rarity = hits.select("term", *keys).distinct().groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    found = scored.groupBy(*keys).agg(F.sum(weight).alias("score"), *[F.max(m).alias(f"__{k}") for k, m in enumerate(marks)])
-    flags = {id(t): F.col(f"__{k}") for k, (t, _) in enumerate(terms)}
-    return found.where(_holds(tree, flags)).select(*keys, "score")
+    rarity = rarity.join(F.broadcast(totals)).select("term", "mean", idf.alias("idf"))
+    single = [k for k, t in enumerate(terms) if not t.words]
+    rows = hits.withColumn("leaf", F.explode(F.array_compact(F.array(*[F.when(terms[k].here(), F.lit(k)) for k in single])))) if single else None
+    parts = []
+    if rows is not None:
+        # A term may be there in several attributes or values of one unit.
+        whole = rows.groupBy(*keys, "leaf", "term").agg(F.sum("tf").alias("tf"), F.max("size").alias("size"))
+        parts.append(whole.join(rarity, "term").select(*keys, "leaf", "tf", "size", "mean", "idf"))
+    unit = list(dict.fromkeys([*keys, "attr", "e", *(["vh"] if "vh" in postings.columns else [])]))
+    for k, t in enumerate(terms):
+        if t.words:
+            held = hits.where(t.here()).groupBy(*unit).agg(F.map_from_entries(F.collect_list(F.struct("term", "at"))).alias("places"), F.max("size").alias("size"))
+            found = held.select(*keys, "size", _phrase(F.col("places"), t).alias("tf")).where("tf > 0").groupBy(*keys).agg(F.sum("tf").alias("tf"), F.max("size").alias("size"))
+            heavy = rarity.where(F.col("term").isin(*t.words)).agg(F.sum("idf").alias("idf"), F.max("mean").alias("mean"))
+            parts.append(found.join(F.broadcast(heavy)).select(*keys, F.lit(k).alias("leaf"), "tf", "size", "mean", "idf"))
+    every = reduce(lambda a, b: a.unionByName(b), parts)
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
+    boost = F.element_at(F.array(*[F.lit(t.boost if k in counted else 0.0) for k, t in enumerate(terms)]), F.col("leaf") + 1)
+    found = every.groupBy(*keys).agg(F.sum(weight * boost).alias("score"), *[F.max(F.col("leaf") == k).alias(f"__{k}") for k in range(len(terms))])
+    return found.where(_holds(tree, {id(t): F.col(f"__{k}") for k, t in enumerate(terms)})).select(*keys, "score")
+
+
+class TextIndex:
+    """Stored postings under a path, in ranges of the term, so that a search reads the files and row groups of its terms only.
+
+    update() indexes the values of changed entities anew; a reader takes each entity's last batch,
+    so an entity without values (deleted or evicted) is gone. compact() writes one base.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        self.postings, self.units = TableStore(spark, f"{self.path}/postings"), TableStore(spark, f"{self.path}/units")
+
+    def _write(self, made: DataFrame, units: DataFrame, batch: int, base: bool = False) -> None:
+        ranged = made.withColumn("batch", F.lit(batch).cast("long")).repartitionByRange("term", "e").sortWithinPartitions("term", "e")
+        self.postings.write(ranged, batch, base=base)
+        self.units.write(units.withColumn("batch", F.lit(batch).cast("long")), batch, ["e"], base=base)
+
+    def update(self, texts: DataFrame, batch: int, entities: DataFrame | None = None) -> None:
+        """Index all values (attr, e, vh, v) of the entities of a batch; `entities` (e) are those that changed, if some have no values left. A batch that runs again changes nothing."""
+        held = texts.withColumn("size", F.size(analyze(F.col("v")))).groupBy("e").agg(F.count_if(F.col("size") > 0).alias("values"), F.sum("size").alias("size"))
+        if entities is not None:
+            held = entities.select(F.col("e").cast("string").alias("e")).distinct().join(held, "e", "left").fillna(0, ["values", "size"])
+        self._write(postings_of(texts), held, batch)
+
+    def build(self, catalog: Catalog, attribute: str | None = None, batch: int = 0) -> TextIndex:
+        self.update(facts(catalog, attribute), batch)
+        return self
+
+    def _last(self) -> DataFrame:
+        return self.units.read().groupBy("e").agg(F.max_by(F.struct("batch", "values", "size"), "batch").alias("u")).select("e", "u.*")
+
+    def _batches(self) -> int:
+        return len(self.units._live())
+
+    def current(self) -> DataFrame:
+        """The postings of each entity's last batch."""
+        rows = self.postings.read()
+        if self._batches() > 1:
+            return rows.join(self._last().select("e", "batch"), ["e", "batch"], "left_semi").drop("batch")
+        return rows.drop("batch")
+
+    def totals(self) -> DataFrame:
+        """(n, mean): values and their mean size, from the small table of units."""
+        return self._last().agg(F.sum("values").cast("long").alias("n"), (F.sum("size") / F.sum("values")).alias("mean"))
+
+    def latest_tx(self) -> int | None:
+        return self.units.last_order()
+
+    def compact(self) -> None:
+        order = self.latest_tx()
+        if order is not None and self._batches() > 1:
+            self._write(self.current(), self._last().drop("batch").where("values > 0"), order, base=True)
+            self.postings.prune()
+            self.units.prune()
+
+    def search(self, query: str, attribute: str | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
+        """(attr, e, vh, score), the best first, a page at a time if limited."""
+        rows = self.current() if attribute is None else self.current().where(F.col("attr") == attribute)
+        found = search(rows, query, UNIT, self.totals() if attribute is None else None).orderBy(F.desc("score"), "e", "attr", "vh")
+        found = found.offset(offset) if offset else found
+        return found if limit is None else found.limit(limit)
+
+
+# Clauses.
 
 
 def _query_text(args: list) -> str:
@@ -147,30 +309,45 @@ def _query_text(args: list) -> str:
     return text % tuple(rest) if rest else text
 
 
+def _postings(catalog: Catalog, attribute: str | None = None) -> DataFrame:
+    if catalog.text is None:
+        return index(catalog, attribute)
+    rows = catalog.text.current()
+    return rows if attribute is None else rows.where(F.col("attr") == attribute)
+
+
 def text_search(compiler: object, x: Pred, df: DataFrame) -> DataFrame:
-    """[(text-search :attr "query") [[e v score]]]"""
+    """[(text-search :attr "query") [[e v score]]]; texts join the hits at last, those that hold at the basis only."""
     name = x.args[0].name if isinstance(x.args[0], Keyword) else str(x.args[0])
-    return _bound(search(index(compiler.catalog, name), _query_text(x.args[1:]), ["e", "v"]).select("e", "v", "score"), x)
+    found = search(_postings(compiler.catalog, name), _query_text(x.args[1:]), ["e", "vh"])
+    return _bound(found.join(facts(compiler.catalog, name), ["e", "vh"]).select("e", "v", "score"), x)
 
 
 def wildcard_text_search(compiler: object, x: Pred, df: DataFrame) -> DataFrame:
     """[(wildcard-text-search "query") [[e v a score]]]"""
-    return _bound(search(index(compiler.catalog), _query_text(x.args), ["e", "v", "attr"]).select("e", "v", "attr", "score"), x)
+    found = search(_postings(compiler.catalog), _query_text(x.args), ["e", "vh", "attr"])
+    return _bound(found.join(facts(compiler.catalog), ["e", "vh", "attr"]).select("e", "v", "attr", "score"), x)
+
+
+def multi_field(postings: DataFrame) -> DataFrame:
+    """Postings whose size is that of all values of the entity."""
+    sizes = postings.select(*UNIT, "size").distinct().groupBy("e").agg(F.sum("size").alias("whole"))
+    return postings.join(sizes, "e").withColumn("size", F.col("whole")).drop("whole")
 
 
 def multi_field_search(compiler: object, x: Pred, df: DataFrame) -> DataFrame:
-    """[(multi-text-search "a:%s AND b:%s" args...) [[e score]]]: one unit for each document."""
-    postings = index(compiler.catalog)
-    sizes = postings.select("e", "attr", "v", "size").distinct().groupBy("e").agg(F.sum("size").alias("size"))
-    merged = postings.groupBy("e", "attr", "term").agg(F.sum("tf").alias("tf")).join(sizes, "e")
-    return _bound(search(merged, _query_text(x.args), ["e"]).select("e", "score"), x)
+    """[(multi-text-search "a:%s AND b:%s" args...) [[e score]]]: one unit for each entity."""
+    found = search(multi_field(_postings(compiler.catalog)), _query_text(x.args), ["e"])
+    if compiler.catalog.text is not None:
+        found = found.join(facts(compiler.catalog).select("e").distinct(), "e", "left_semi")
+    return _bound(found.select("e", "score"), x)
 
 
 def _bound(found: DataFrame, x: Pred) -> DataFrame:
     shape, names = x.binding or ("relation", [])
     names = [names] if isinstance(names, str) else list(names)
     kept = found.select(*[F.col(c).alias(n) for c, n in zip(found.columns, names, strict=False)])
-    return kept.distinct()
+    return kept if {"e", "v"} <= set(found.columns[: len(names)]) else kept.distinct()
 
 
 CONSTRAINTS = {"text-search": text_search, "wildcard-text-search": wildcard_text_search, "multi-text-search": multi_field_search, "lucene-text-search": multi_field_search}

@@ -17,7 +17,7 @@ from tidemark.db import Db
 from tidemark.model import Catalog, entity_table
 from tidemark.operators.pull import pull_columns
 from tidemark.operators.temporal import as_of, history
-from tidemark.operators.text import index, search
+from tidemark.operators.text import TextIndex, facts, index, search
 from tidemark.plans.sparql import translate
 from tidemark.sources.connect import as_text, records_to_ops
 from tidemark.sources.ntriples import parse_ntriples
@@ -546,11 +546,77 @@ def pull_reverse(spark: SparkSession, d: str) -> DataFrame:
 # Full text.
 
 
-@register("""
-SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])idiot($|[^\\p{L}\\p{N}])') AND NOT regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])moron($|[^\\p{L}\\p{N}])')""")
+def _bm25(texts: str) -> str:
+    """Tables of (doc_id, v) values in SQL: u(values), p(postings), r(rarities), s(scores)."""
+    return rf"""
+d AS ({texts}), w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(v), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '') AS w FROM d WHERE v IS NOT NULL),
+u AS (SELECT doc_id, w, len(w) AS size FROM w WHERE len(w) > 0), m AS (SELECT count(*) AS n, avg(size) AS mean FROM u),
+p AS (SELECT doc_id, size, term, count(*) AS tf FROM (SELECT doc_id, size, unnest(w) AS term FROM u) GROUP BY ALL),
+r AS (SELECT term, ln(1 + (n - count(DISTINCT doc_id) + 0.5) / (count(DISTINCT doc_id) + 0.5)) AS idf FROM p, m GROUP BY term, n),
+s AS (SELECT doc_id, term, idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean)) AS score FROM p JOIN r USING (term), m)"""
+
+
+@register(f"""WITH {_bm25("SELECT doc_id, text AS v FROM documents")}
+SELECT doc_id, round(sum(score), 5) AS score FROM s WHERE term = 'idiot' AND doc_id NOT IN (SELECT doc_id FROM p WHERE term = 'moron') GROUP BY doc_id""")
 def text_search(spark: SparkSession, d: str) -> DataFrame:
     db = database(spark, d, "documents")
-    return search(index(db.catalog, "text"), "idiot AND NOT moron", ["e"]).select(F.col("e").cast("long").alias("doc_id"))
+    return db.df('{:find [e score] :keys [doc_id score] :where [[(text-search :text "idiot AND NOT moron") [[e v score]]]]}').select(F.col("doc_id").cast("long").alias("doc_id"), money("score", 5))
+
+
+@register(f"""WITH {_bm25("SELECT doc_id, text AS v FROM documents")},
+f AS (SELECT doc_id, size, len(list_filter(range(1, len(w) - 1), lambda i: w[i] = 'licensed' AND w[i + 1] = 'under' AND w[i + 2] = 'the')) AS tf FROM u),
+i AS (SELECT sum(idf) AS idf FROM r WHERE term IN ('licensed', 'under', 'the'))
+SELECT doc_id, round(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean)), 5) AS score FROM f, i, m WHERE tf > 0""")
+def text_phrase(spark: SparkSession, d: str) -> DataFrame:
+    """Words that follow each other, by their places in the index."""
+    found = search(index(database(spark, d, "documents").catalog, "text"), '"licensed under the"', ["e"])
+    return found.select(F.col("e").cast("long").alias("doc_id"), money("score", 5))
+
+
+@register(f"""WITH {_bm25("SELECT doc_id, text AS v FROM documents")}
+SELECT doc_id, round(sum(score * CASE WHEN term LIKE 'idio%' THEN 2 ELSE 1 END), 5) AS score FROM s WHERE term LIKE 'idio%' OR levenshtein(term, 'moron') <= 1 GROUP BY doc_id""")
+def text_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """A boosted prefix or a fuzzy word."""
+    found = search(index(database(spark, d, "documents").catalog, "text"), "idio*^2 OR moron~1", ["e"])
+    return found.select(F.col("e").cast("long").alias("doc_id"), money("score", 5))
+
+
+@register(f"""WITH {_bm25("SELECT doc_id || '/text' AS doc_id, text AS v FROM documents UNION ALL SELECT doc_id || '/lang', lang FROM documents UNION ALL SELECT doc_id || '/source', source FROM documents")}
+SELECT split_part(doc_id, '/', 1) AS doc_id, split_part(doc_id, '/', 2) AS attr, round(sum(score), 5) AS score FROM s WHERE term LIKE 'cl_wn%' OR term = 'fr' GROUP BY ALL""")
+def text_wildcard(spark: SparkSession, d: str) -> DataFrame:
+    """All attributes: each value that matches, with its attribute."""
+    out = database(spark, d, "documents").df('{:find [e a score] :keys [doc_id attr score] :where [[(wildcard-text-search "cl?wn* OR fr") [[e v a score]]]]}')
+    return out.select("doc_id", "attr", money("score", 5))
+
+
+@register(f"""WITH {_bm25("SELECT doc_id, concat_ws(' ', text, lang, source) AS v FROM documents")},
+t AS (SELECT doc_id, size, len(list_filter(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> ''), lambda t: t = 'idiot')) AS tf FROM documents JOIN u USING (doc_id)),
+x AS (SELECT doc_id, size, tf, n, mean, count(*) OVER () AS df FROM t, m WHERE tf > 0),
+l AS (SELECT doc_id, size, n, mean, count(*) OVER () AS df FROM documents JOIN u USING (doc_id), m WHERE lang = 'en')
+SELECT doc_id, round(ln(1 + (x.n - x.df + 0.5) / (x.df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * x.size / x.mean)) + ln(1 + (l.n - l.df + 0.5) / (l.df + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * l.size / l.mean)), 5) AS score FROM x JOIN l USING (doc_id)""")
+def text_multi(spark: SparkSession, d: str) -> DataFrame:
+    """Several attributes of one entity at once."""
+    out = database(spark, d, "documents").df('{:find [e score] :keys [doc_id score] :where [[(multi-text-search "text:%s AND lang:%s" "idiot" "en") [[e score]]]]}')
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), money("score", 5))
+
+
+def stored_index(spark: SparkSession, d: str) -> Db:
+    """Documents with a stored index of their texts: all are indexed, then those of one language are evicted, then it is compacted."""
+    db = database(spark, d, "documents")
+    text = TextIndex(spark, f"{shared_root(spark)}/tidemark/text-{uuid.uuid4().hex}").build(db.catalog, "text")
+    gone = db.catalog.tables["documents"].df.where("lang = 'de'").select(F.col("doc_id").alias("e"))
+    text.update(facts(db.catalog, "text").limit(0), 1, gone)
+    text.compact()
+    db.catalog.text = text
+    return db
+
+
+@register(f"""WITH {_bm25("SELECT doc_id, text AS v FROM documents WHERE lang <> 'de'")}
+SELECT doc_id, round(sum(score), 5) AS score FROM s WHERE term IN ('idiot', 'stupid') GROUP BY doc_id ORDER BY sum(score) DESC, CAST(doc_id AS VARCHAR) LIMIT 20 OFFSET 5""")
+def text_stored(spark: SparkSession, d: str) -> DataFrame:
+    """A page of the best of a stored index."""
+    found = stored_index(spark, d).catalog.text.search("idiot OR stupid", limit=20, offset=5)
+    return found.select(F.col("e").cast("long").alias("doc_id"), money("score", 5))
 
 
 # Statistics, windows, grouping sets.
