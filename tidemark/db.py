@@ -21,10 +21,11 @@ from tidemark.plans.parse import Query, parse
 
 if TYPE_CHECKING:
     from tidemark.node import Node
+    from tidemark.stored import StoredNode
 
 
 class Db:
-    def __init__(self, spark: SparkSession, catalog: Catalog, basis: Basis | None = None, node: Node | None = None, functions: dict[str, Callable] | None = None, aggregates: dict[str, Callable] | None = None, allowed: set[str] | None = None, constraints: dict[str, Callable] | None = None, nullsafe: bool = False, timeout_ms: int = 30_000) -> None:
+    def __init__(self, spark: SparkSession, catalog: Catalog, basis: Basis | None = None, node: Node | StoredNode | None = None, functions: dict[str, Callable] | None = None, aggregates: dict[str, Callable] | None = None, allowed: set[str] | None = None, constraints: dict[str, Callable] | None = None, nullsafe: bool = False, timeout_ms: int = 30_000) -> None:
         self.spark, self.catalog, self.basis, self.node = spark, catalog, basis or Basis(), node
         self.functions, self.aggregates, self.allowed = functions or {}, aggregates or {}, allowed
         self.constraints = {**text.CONSTRAINTS, **(constraints or {})}
@@ -116,10 +117,11 @@ class Db:
         for table in self.catalog.tables.values():
             if table.eid is None or not wanted:
                 continue
-            if self.node is not None:
+            if "content_hash" in table.df.columns:
                 rows = table.df.where(F.col(table.eid).cast("string").isin([str(w) for w in wanted])).select("content_hash", F.col(table.eid).alias("__e")).collect()
+                docs = self.node.documents_at([row["content_hash"] for row in rows])
                 for row in rows:
-                    out[row["__e"]] = {k: _plain(v) for k, v in self.node.documents[row["content_hash"]].items()}
+                    out[row["__e"]] = {k: _plain(v) for k, v in docs[row["content_hash"]].items()}
             else:
                 rows = table.df.where(F.col(table.eid).isin(wanted)).collect()
                 for row in rows:
@@ -154,7 +156,7 @@ class Db:
     def entity_history(self, eid: object, order: str = "asc", start: dict | None = None, end: dict | None = None, with_corrections: bool = False, with_docs: bool = False) -> list[dict]:
         """Versions in valid-time order up to the basis; start bounds inclusive, end bounds exclusive: {"valid_time", "tx_time", "tx_id"}."""
         if self.node is None:
-            raise ValueError("history needs a node")
+            raise ValueError("history needs a node or stored tables (tidemark.stored)")
         down = order == "desc"
         rows = self.node.versions_of(eid, self.basis)
         if self.basis.valid_time is not None:
@@ -173,11 +175,14 @@ class Db:
                     best[r["valid_time"]] = r
             rows = list(best.values())
         if with_docs:
-            rows = [{**r, "doc": self.node.documents.get(r["content_hash"])} for r in rows]
+            docs = self.node.documents_at([r["content_hash"] for r in rows if r["content_hash"] is not None])
+            rows = [{**r, "doc": docs.get(r["content_hash"])} for r in rows]
         return rows
 
     def with_tx(self, ops: object) -> Db | None:
         """This database with the operations applied on the side; None if they would abort."""
+        if hasattr(self.node, "speculate"):
+            return self.node.speculate(self.basis, ops)
         fork = self.node.fork(self.basis)
         tx = fork.submit_tx(ops)
         return fork.db(valid_time=max(filter(None, (self.basis.valid_time, tx["tx_time"])), default=None)) if fork.tx_committed(tx) else None

@@ -39,20 +39,23 @@ def _fold(rows: pd.DataFrame) -> pd.DataFrame:
 def fold_log(log: DataFrame, versions: DataFrame | None = None) -> DataFrame:
     """The versions after a log's puts and deletes, those before included.
 
-    Entities of which the log has one plain put or delete and nothing before need no fold and
-    stay native; only the others are grouped.
+    An operation without end adds one version, whatever came before, unless a version that is
+    visible at its start has others of the same transaction after it. So entities of which no
+    operation has an end and no transaction more than one stay native; only the others are
+    grouped, as each of their operations depends on those before.
     """
     spark = log.sparkSession
     new = log.where("op IN ('put', 'delete')").select("eid", "vt", "tx_time", "tx_id", "op_idx", "op", "end_vt", F.when(F.col("op") == "put", F.sha1(F.col("doc").cast("binary"))).alias("content_hash"), F.lit(False).alias("old"))
     before = versions if versions is not None else spark.createDataFrame([], VERSIONS)
+    several = new.groupBy("eid", "tx_id").agg(F.count("*").alias("c"), F.count("end_vt").alias("ends")).where("c > 1 OR ends > 0").select("eid")
+    if versions is not None:
+        twice = before.groupBy("eid", "tx_id").agg(F.count("*").alias("c")).where("c > 1").select("eid")
+        several = several.union(twice.join(new, "eid", "left_semi"))
+    several = several.distinct()
+    plain = new.join(several, "eid", "left_anti").select("eid", F.coalesce("vt", "tx_time").alias("vt"), F.col("tx_time").alias("tt"), "tx_id", "content_hash")
     old = before.select("eid", "vt", F.col("tt").alias("tx_time"), "tx_id", F.lit(0).alias("op_idx"), F.lit("put").alias("op"), F.lit(None).cast("timestamp").alias("end_vt"), "content_hash", F.lit(True).alias("old"))
-    touched = new.groupBy("eid").agg(F.count("*").alias("c"), F.count("end_vt").alias("ends"))
-    held = old.join(touched, "eid", "left_semi")
-    single = touched.where("c = 1 AND ends = 0").join(held.select("eid").distinct(), "eid", "left_anti").select("eid")
-    plain = new.join(single, "eid", "left_semi").select("eid", F.coalesce("vt", "tx_time").alias("vt"), F.col("tx_time").alias("tt"), "tx_id", "content_hash")
-    rest = new.join(single, "eid", "left_anti").unionByName(held).groupBy("eid").applyInPandas(_fold, VERSIONS)
-    quiet = before.join(touched, "eid", "left_anti")
-    return quiet.unionByName(plain).unionByName(rest)
+    rest = new.unionByName(old).join(several, "eid", "left_semi").groupBy("eid").applyInPandas(_fold, VERSIONS)
+    return before.join(several, "eid", "left_anti").unionByName(plain).unionByName(rest)
 
 
 def documents_of(log: DataFrame) -> DataFrame:
@@ -81,7 +84,7 @@ class LogIngest:
 
     def __init__(self, spark: SparkSession, path: str, listeners: list[Callable[[dict], None]] | None = None) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-        self.stored, self.documents, self.transactions = (TableStore(spark, f"{self.path}/{n}") for n in ("versions", "documents", "transactions"))
+        self.stored, self.documents, self.transactions, self.schemas = (TableStore(spark, f"{self.path}/{n}") for n in ("versions", "documents", "transactions", "schemas"))
         self.listeners = listeners or []
 
     def versions(self) -> DataFrame:
@@ -97,6 +100,7 @@ class LogIngest:
             bare = touched.select("eid", *[F.lit(None).cast(t).alias(n) for n, t in (("vt", "timestamp"), ("tt", "timestamp"), ("tx_id", "bigint"), ("content_hash", "string"))])
             self.stored.write(folded.unionByName(bare).withColumn("batch", F.lit(batch_id).cast("long")), batch_id, ["eid", "vt", "tx_id"])
             self.documents.write(documents_of(log), batch_id)
+            self.schemas.write(log.where("op = 'put'").agg(F.schema_of_variant_agg(F.try_parse_json("doc")).alias("kinds")), batch_id)
             self.transactions.write(log.groupBy("tx_id").agg(F.min("tx_time").alias("tx_time"), F.count("*").alias("ops")), batch_id)
             last = log.agg(F.max("tx_id"), F.max("tx_time")).first()
         finally:
