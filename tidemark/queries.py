@@ -22,6 +22,7 @@ from tidemark.plans.sparql import translate
 from tidemark.sources.connect import as_text, records_to_ops
 from tidemark.sources.ntriples import parse_ntriples
 from tidemark.sql import Sql
+from tidemark.stored import StoredNode
 from tidemark.streaming.ingest import LogIngest, documents_of, fold_log
 from tidemark.workspace import shared_root
 
@@ -645,18 +646,6 @@ def cube_rollup(spark: SparkSession, d: str) -> DataFrame:
     return sql.sql("SELECT flag AS l_returnflag, status AS l_linestatus, sum(times) AS n, round(sum(q * times), 2) AS q FROM lines GROUP BY CUBE (flag, status)")
 
 
-@register("SELECT event_type, count(*) AS n FROM (SELECT arg_max(event_type, (ts, event_id)) AS event_type FROM events WHERE ts <= TIMESTAMP '2024-01-10' AND user_id > 20 GROUP BY user_id) GROUP BY event_type")
-def sql_temporal_view(spark: SparkSession, d: str) -> DataFrame:
-    """A SQL statement with a valid-time prefix over a table that a query defines."""
-
-    def at(valid_time: datetime | None = None, tx_time: datetime | None = None, tx_id: int | None = None) -> Db:
-        return Db(spark, Catalog().add(entity_table("users", as_of(versions(spark, d), valid_time, tx_id, payload=["event_type"]), "eid")))
-
-    sql = Sql(spark, at)
-    sql.create_table("user_state", "{:find [?user ?kind] :where [[?user :event_type ?kind] [(> ?user 20)]]}", {"?user": "bigint", "?kind": "varchar"})
-    return sql.sql("VALIDTIME('2024-01-10') SELECT kind AS event_type, count(*) AS n FROM user_state GROUP BY kind")
-
-
 def event_log(spark: SparkSession, d: str) -> DataFrame:
     """Events as a log of puts of their users' state."""
     events = spark.read.parquet(f"{d}/events.parquet")
@@ -690,6 +679,46 @@ def stream_replay(spark: SparkSession, d: str) -> DataFrame:
     return state.select("eid", "s.event_id", "s.event_type")
 
 
+def stored_events(spark: SparkSession, d: str) -> StoredNode:
+    """The log of events in stored tables, in two batches."""
+    node = StoredNode(spark, f"{shared_root(spark)}/tidemark/stored-{uuid.uuid4().hex}")
+    log = event_log(spark, d)
+    half = log.agg(F.expr("max(tx_id) div 2")).first()[0]
+    node.submit(log.where(F.col("tx_id") <= half))
+    node.submit(log.where(F.col("tx_id") > half))
+    return node
+
+
+@register("SELECT event_type, count(*) AS users FROM (SELECT arg_max(event_type, (ts, event_id)) AS event_type FROM events WHERE ts <= TIMESTAMP '2024-01-15' AND event_id <= (SELECT max(event_id) // 3 FROM events) GROUP BY user_id) GROUP BY event_type")
+def stored_asof(spark: SparkSession, d: str) -> DataFrame:
+    """A query against stored tables at a valid time, as known at a transaction before the last."""
+    node = stored_events(spark, d)
+    db = node.db(valid_time=datetime(2024, 1, 15), tx_id=node.latest_completed_tx()["tx_id"] // 3)
+    return db.df("{:find [k (count u)] :keys [event_type users] :where [[u :event_type k]] :order-by [[k :asc]]}")
+
+
+@register("SELECT CAST(user_id AS VARCHAR) AS eid, ts AS vt, event_id AS tx_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) AS n FROM events) WHERE n = 1 AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20'")
+def stored_history(spark: SparkSession, d: str) -> DataFrame:
+    return history(stored_events(spark, d).ingest.versions(), start=(datetime(2024, 1, 5),), end=(datetime(2024, 1, 20),)).select("eid", "vt", "tx_id")
+
+
+@register("SELECT CAST(user_id AS VARCHAR) AS eid, max(event_id) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events WHERE ts <= TIMESTAMP '2024-01-15' GROUP BY user_id")
+def stored_pull(spark: SparkSession, d: str) -> DataFrame:
+    """A pull of all entities of stored tables at a valid time, as one plan."""
+    db = stored_events(spark, d).db(valid_time=datetime(2024, 1, 15))
+    pulled = pull_columns(db.catalog, db.df("{:find [e] :keys [eid] :where [[e :event_type]]}"), "[:event_id :event_type]")
+    return pulled.select("eid", "pulled.event_id", "pulled.event_type")
+
+
+@register("SELECT event_type, count(*) AS n FROM (SELECT arg_max(event_type, (ts, event_id)) AS event_type FROM events WHERE ts <= TIMESTAMP '2024-01-10' AND user_id > 20 GROUP BY user_id) GROUP BY event_type")
+def sql_temporal_view(spark: SparkSession, d: str) -> DataFrame:
+    """A SQL statement with a valid-time prefix over a table that a query of stored tables defines."""
+    node = stored_events(spark, d)
+    sql = Sql(spark, lambda valid_time=None, tx_time=None, tx_id=None: node.db(valid_time, tx_time, tx_id))
+    sql.create_table("user_state", "{:find [?user ?kind] :where [[?user :event_type ?kind] [(long ?user) ?n] [(> ?n 20)]]}", {"?user": "varchar", "?kind": "varchar"})
+    return sql.sql("VALIDTIME('2024-01-10') SELECT kind AS event_type, count(*) AS n FROM user_state GROUP BY kind")
+
+
 @register("""
 SELECT user_id AS eid, vt, CASE WHEN vt = TIMESTAMP '2024-02-10' THEN 'base' WHEN vt = TIMESTAMP '2024-02-05' THEN 'trial' ELSE 'base' END AS state
 FROM (SELECT DISTINCT user_id FROM events), (VALUES (TIMESTAMP '2024-02-01'), (TIMESTAMP '2024-02-05'), (TIMESTAMP '2024-02-10')) v(vt)""")
