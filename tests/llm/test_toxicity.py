@@ -9,7 +9,7 @@ from tidemark.llm import queries, toxicity
 
 def test_label_model_finds_accuracies_and_correlations(monkeypatch):
     """Votes drawn from known rates, with copies of a voter and a voter for clean; the prior is off and weighs little."""
-    monkeypatch.setattr(toxicity, "PRIOR_ROWS", 20)
+    monkeypatch.setattr(toxicity, "PRIOR", 0.005)
     rng = np.random.default_rng(2)
     truth = rng.random(6000) < 0.3
     draw = lambda toxic, clean: np.where(truth, rng.random(6000) < toxic, rng.random(6000) < clean)
@@ -24,11 +24,24 @@ def test_label_model_finds_accuracies_and_correlations(monkeypatch):
         if model.parent[j] < 0:
             assert abs(model.speaks[1, 0, j] - toxic) < 0.08 and abs(model.speaks[0, 0, j] - clean) < 0.06
     assert sum(model.parent[:7] < 0) >= 5
-    assert ((post > 0.5) == truth).mean() > 0.95 and abs(model.prior - 0.3) < 0.05
+    assert ((post > 0.5) == truth).mean() > 0.95
     once, alone = toxicity.label_model(votes[:, :7], hint[:, :7], 0.4)
     assert ((alone > 0.5) == (post > 0.5)).mean() > 0.99
 
 
+def test_rows_on_which_all_abstain_stay_clean():
+    """Half the rows are toxic, voters speak in groups, and most clean rows have no vote: they must not drift into the other class."""
+    rng = np.random.default_rng(7)
+    truth = rng.random(8000) < 0.45
+    group = rng.integers(0, 4, 8000)
+    votes = np.zeros((8000, 40))
+    for j in range(40):
+        votes[:, j] = np.where(truth & (group == j // 10), rng.random(8000) < 0.5, rng.random(8000) < 0.004)
+    hint = np.stack([votes[~truth].mean(axis=0), votes[truth].mean(axis=0)])
+    _, post = toxicity.label_model(votes, hint, 0.45)
+    assert ((post > 0.5) == truth).mean() > 0.93 and post[~votes.any(axis=1)].max() < 0.4
+
+
 def test_posterior_against_brute_force():
     rng = np.random.default_rng(4)
     votes = (rng.random((300, 5)) < 0.4).astype(float)

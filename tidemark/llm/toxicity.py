@@ -25,8 +25,9 @@ VOTERS = 160
 SUPPORT, EVIDENCE = 4, 18.0
 #: ... and a mined voter speak so often for its class, at equal class sizes.
 PRECISION = 0.8
-#: Rows that the label model's prior counts for, in each class: the prior comes from the labels, everything else from the votes.
-PRIOR_ROWS = 500
+#: How much the label model's prior counts for in each class, as a multiple of the rows: it holds the classes in their place, as votes alone would
+#: let rows on which all voters abstain drift from one to the other.
+PRIOR = 1.0
 #: Twice the log-likelihood that a link between two voters must gain.
 LINK = 30.0
 
@@ -160,23 +161,24 @@ def _forest(votes: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def _estimate(votes: np.ndarray, post: np.ndarray, parent: np.ndarray, hint: np.ndarray, share: float) -> LabelModel:
-    """Probabilities from rows that count for each class as their posterior says, and from the prior, which counts PRIOR_ROWS rows."""
+    """Probabilities from rows that count for each class as their posterior says, and from the prior, which counts as PRIOR times all rows; the class's share is the prior's."""
     above = np.where(parent >= 0, votes[:, np.maximum(parent, 0)], 0.0)
     speaks = np.empty((2, 2, votes.shape[1]))
     for c, w in enumerate((1 - post, post)):
-        rate = (w @ votes + PRIOR_ROWS * hint[c]) / (w.sum() + PRIOR_ROWS)
+        more = PRIOR * len(votes) + 1
+        rate = (w @ votes + more * hint[c]) / (w.sum() + more)
         n1, v1 = w @ above, w @ (above * votes)
         n0, v0 = w.sum() - n1, w @ votes - v1
         linked = parent >= 0
         speaks[c] = np.where(linked, [(v0 + rate) / (n0 + 1), (v1 + rate) / (n1 + 1)], rate)
-    return LabelModel(float((post.sum() + PRIOR_ROWS * share) / (len(post) + PRIOR_ROWS)), parent, np.clip(speaks, 1e-6, 1 - 1e-6))
+    return LabelModel(share, parent, np.clip(speaks, 1e-6, 1 - 1e-6))
 
 
 def label_model(votes: np.ndarray, hint: np.ndarray, share: float, rounds: int = 40) -> tuple[LabelModel, np.ndarray]:
     """The generative model of 0/1 votes (1: the voter speaks, 0: it abstains), and each row's posterior.
 
     `hint` is a prior: how often each voter speaks in either class, and `share` that of class 1;
-    it counts as PRIOR_ROWS rows. Expectation and maximisation fit accuracies and correlations to
+    it counts as PRIOR times the rows. Expectation and maximisation fit accuracies and correlations to
     the votes alone, starting from what the prior makes of those who speak: what voters share
     beyond the class is in the likelihood, as a forest of dependent voters that is learnt anew
     every ten rounds, so a copy of a voter adds nothing.
@@ -222,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 
     Voters are fixed lexicons and patterns, and words and stems that the sample has far more often
     in one class; each speaks for toxic or for clean, or abstains. The labels give the label model
-    a prior of PRIOR_ROWS rows a class; posteriors come from the votes, and the classifier learns
+    a prior on how often each voter speaks in a class; posteriors come from the votes, and the classifier learns
     from posteriors only.
 
     Rows without label or id are not used; of a doc_id's repeated labels the largest counts. With
