@@ -178,3 +178,32 @@ def test_reader():
     for broken in ("[1 2", "{:a}", "[1}"):
         with pytest.raises((ValueError, EOFError)):
             read(broken)
+
+
+def test_aggregates_that_keep_some_values(spark):
+    from tidemark.db import Db
+    from tidemark.model import Catalog, entity_table
+
+    rows = [(k, "a" if k % 3 else "b", k % 5 if k % 3 else None) for k in range(300)] + [(300, "c", 9)]
+    table = Db(spark, Catalog().add(entity_table("t", spark.createDataFrame(rows, "id long, g string, v long"), "id")))
+    found = {r["g"]: r for r in table.df("{:find [g (min 2 v) (max 2 v) (sample 3 v) (rand 7 v) (count v)] :keys [g lo hi some drawn n] :where [[e :g g] [e :v v]]}").collect()}
+    assert (found["a"]["lo"], found["a"]["hi"], found["a"]["n"]) == ([0, 1], [3, 4], 200)
+    assert len(set(found["a"]["some"])) == 3 and len(found["a"]["drawn"]) == 7 and set(found["a"]["some"] + found["a"]["drawn"]) <= set(range(5))
+    assert (found["c"]["lo"], found["c"]["some"], found["c"]["drawn"]) == ([9], [9], [9] * 7)
+    assert set(found) == {"a", "c"}
+    assert table.q("{:find [(min 2 v)] :where [[e :v v] [e :g \"a\"]]}") == {((0, 1),)}
+    assert table.q("{:find [(min 2 v)] :where [[e :v v] [e :g \"none\"]]}") == set()
+
+
+def test_draws_follow_the_counts_of_values(spark):
+    from tidemark.functions.aggregates import some_values
+
+    rows = spark.createDataFrame([("x", 1)] * 900 + [("x", 2)] * 100, "g string, v long")
+    drawn = some_values(rows, ["g"], "v", "rand", 400).first()["v"]
+    assert len(drawn) == 400 and 300 < drawn.count(1) < 395
+
+
+def test_a_group_of_nothing_has_no_values_to_give(spark):
+    node = Node(spark)
+    node.submit_tx('[[:db.tx/put {:db/id :a :kind "x" :v nil}] [:db.tx/put {:db/id :b :kind "y" :v 4}]]')
+    assert node.db().q("{:find [k (min 2 v) (rand 2 v)] :where [[e :kind k] [e :v v]]}") == {("x", (), ()), ("y", (4,), (4, 4))}

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.edn import Call, Keyword, Symbol
-from tidemark.functions.aggregates import aggregate
+from tidemark.functions.aggregates import aggregate, keeps_some, some_values
 from tidemark.functions.scalar import c, resolve, truthy
 from tidemark.model import Catalog, EntityTable
 from tidemark.plans.parse import Not, Or, Pred, Query, Rule, RuleCall, Triple, binding_names, fresh, is_var, parse, variables
@@ -590,7 +590,7 @@ class Compiler:
     def finish(self, query: Query, rel: DataFrame, group: list[str] | None = None) -> tuple[DataFrame, list[str]]:
         """Project, aggregate, sort and page; `group` are columns of the seed that stay and partition limits."""
         group = group or []
-        names, columns, aggregates, plain = [], [], [], []
+        names, columns, aggregates, plain, some = [], [], [], [], []
         for k, term in enumerate(query.find):
             name = query.keys[k] if query.keys else self._title(term, k)
             while name in names or name in group:
@@ -608,16 +608,25 @@ class Compiler:
                 var = term[-1]
                 if not is_var(var) or var.name not in rel.columns:
                     raise ValueError(f"find refers to unknown variable: {var}")
-                aggregates.append(aggregate(term[0].name, list(term[1:-1]), F.col(f"`{var.name}`"), self.aggregates).alias(name))
+                if keeps_some(term[0].name, list(term[1:-1]), self.aggregates):
+                    some.append((name, term[0].name, term[1], F.col(f"`{var.name}`")))
+                else:
+                    aggregates.append(aggregate(term[0].name, list(term[1:-1]), F.col(f"`{var.name}`"), self.aggregates).alias(name))
                 plain.append(None)
             else:
                 raise ValueError(f"not an element of find: {term!r}")
         columns = names
-        if aggregates:
-            keys = [p for p in plain if p is not None]
-            staged = rel
-            grouped = staged.groupBy(*[F.col(f"`{g}`") for g in group], *keys)
-            out = grouped.agg(*aggregates, F.count(F.lit(1)).alias("__rows")).where("__rows > 0").drop("__rows")
+        if aggregates or some:
+            keys = [F.col(f"`{g}`") for g in group] + [p for p in plain if p is not None]
+            out = rel.groupBy(*keys).agg(*aggregates, F.count(F.lit(1)).alias("__rows"))
+            if some:
+                by = group + [n for n, p in zip(names, plain, strict=True) if p is not None]
+                whole = [n for n, p in zip(names, plain, strict=True) if p is None and n not in [s[0] for s in some]]
+                for name, kind, n, x in some:
+                    out = out.unionByName(some_values(rel.select(*keys, x.alias(name)), by, name, kind, n), allowMissingColumns=True)
+                arrays = [F.coalesce(F.first(f"`{s[0]}`", ignorenulls=True), F.slice(F.array(F.lit(None)), 1, 0)).alias(s[0]) for s in some]
+                out = out.groupBy(*[F.col(f"`{k}`") for k in by]).agg(*[F.first(f"`{n}`", ignorenulls=True).alias(n) for n in [*whole, "__rows"]], *arrays)
+            out = out.where("__rows > 0")
             out = out.select(*[f"`{g}`" for g in group], *[f"`{n}`" for n in names])
         else:
             out = rel.select(*[F.col(f"`{g}`") for g in group], *plain)

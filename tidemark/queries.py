@@ -6,6 +6,7 @@ run over whole tables.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 from datetime import datetime
@@ -372,6 +373,14 @@ def agg_minmax_n(spark: SparkSession, d: str) -> DataFrame:
     return out.select("p_brand", F.to_json("least").alias("least"), F.to_json("most").alias("most"))
 
 
+@register("SELECT p_brand, 5 AS drawn, true AS known, least(3, count(DISTINCT p_size)) AS sampled, true AS differ FROM part GROUP BY p_brand")
+def agg_rand_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Five values drawn with repeats, three without: how many there are, and whether they are the group's and differ."""
+    out = database(spark, d, "part").df("{:find [b (rand 5 z) (sample 3 z) (distinct z)] :keys [p_brand r s all] :where [[p :p_brand b] [p :p_size z]]}")
+    known = F.size(F.array_except(F.concat("r", "s"), "all")) == 0
+    return out.select("p_brand", F.size("r").alias("drawn"), known.alias("known"), F.size("s").alias("sampled"), (F.size(F.array_distinct("s")) == F.size("s")).alias("differ"))
+
+
 @register("SELECT o_orderstatus, count(DISTINCT o_custkey) AS customers, count(*) AS n, min(o_orderdate) AS first_day, max(o_orderdate) AS last_day FROM orders GROUP BY o_orderstatus")
 def agg_count_distinct(spark: SparkSession, d: str) -> DataFrame:
     return database(spark, d, "orders").df("{:find [s (count-distinct c) (count o) (min day) (max day)] :keys [o_orderstatus customers n first_day last_day] :where [[o :o_orderstatus s] [o :o_custkey c] [o :o_orderdate day]]}")
@@ -856,3 +865,69 @@ def stream_hours(spark: SparkSession, d: str) -> DataFrame:
     query = hours.writeStream.outputMode("complete").foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{root}/out")).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{root}/out").select(F.col("window.start").alias("start"), "event_type", "n", money("total", 3))
+
+
+# Function families: what each call gives for every part (n its name, b brand, t type, z size, m 20 - z, w the words of its name), beside SQL for the same.
+
+_PARTS = "(SELECT p_partkey AS p, p_name AS n, p_brand AS b, p_type AS t, p_size AS z, 20 - p_size AS m, string_split(p_name, ' ') AS w FROM part)"
+
+FAMILIES = {
+    "fn_numbers": [
+        ("inc", "(inc z)", "z + 1"), ("dec", "(dec z)", "z - 1"), ("neg", "(- z)", "-z"), ("abs", "(abs m)", "abs(m)"), ("sum", "(+ z p 1)", "z + p + 1"), ("product", "(* z 3 m)", "z * 3 * m"),
+        ("quotient", "(/ z 4)", "z / 4"), ("quot", "(quot m 7)", "CAST(trunc(m / 7) AS BIGINT)"), ("rem", "(rem m 7)", "m % 7"), ("mod", "(mod m 7)", "(m % 7 + 7) % 7"), ("least", "(min z 25 p)", "least(z, 25, p)"), ("most", "(max z m)", "greatest(z, m)"),
+        ("big_sum", "(+' z 9000000000)", "z + 9000000000"), ("big_inc", "(inc' z)", "z + 1"), ("big_dec", "(dec' z)", "z - 1"), ("big_product", "(*' z 3)", "z * 3"), ("big_rest", "(-' z 3)", "z - 3"),
+    ],
+    "fn_comparisons": [
+        ("lt", "(< m z)", "m < z"), ("le", "(<= 10 z 20)", "10 <= z AND z <= 20"), ("gt", "(> z 10 m)", "z > 10 AND 10 > m"), ("ge", "(>= z 25)", "z >= 25"), ("eq", "(= z 25)", "z = 25"), ("same", "(== z m)", "z = m"), ("ne", "(not= z m)", "z <> m"), ("differs", "(!= z 25)", "z <> 25"),
+        ("ordered", "(compare z 25)", "CASE WHEN z < 25 THEN -1 WHEN z > 25 THEN 1 ELSE 0 END"), ("text_order", '(compare b "Brand#3")', "CASE WHEN b < 'Brand#3' THEN -1 WHEN b > 'Brand#3' THEN 1 ELSE 0 END"), ("all_differ", "(distinct? z m 10)", "z <> m AND z <> 10 AND m <> 10"), ("identical", "(identical? b b)", "true"),
+    ],
+    "fn_bits": [
+        ("b_and", "(bit-and z 12)", "z & 12"), ("b_or", "(bit-or z 3)", "z | 3"), ("b_xor", "(bit-xor z 5)", "xor(z, 5)"), ("b_not", "(bit-not z)", "~z"), ("b_and_not", "(bit-and-not z 6)", "z & ~6"), ("shl", "(bit-shift-left z 2)", "z << 2"), ("shr", "(bit-shift-right z 1)", "z >> 1"),
+        ("ushr", "(unsigned-bit-shift-right z 2)", "z >> 2"), ("b_set", "(bit-set z 4)", "z | 16"), ("b_clear", "(bit-clear z 1)", "z & ~2"), ("b_flip", "(bit-flip z 0)", "xor(z, 1)"), ("b_test", "(bit-test z 2)", "(z & 4) <> 0"),
+    ],
+    "fn_tests": [
+        ("even", "(even? z)", "z % 2 = 0"), ("odd", "(odd? m)", "m % 2 <> 0"), ("pos", "(pos? m)", "m > 0"), ("neg", "(neg? m)", "m < 0"), ("zero", "(zero? m)", "m = 0"), ("pos_int", "(pos-int? m)", "m > 0"), ("neg_int", "(neg-int? m)", "m < 0"), ("nat_int", "(nat-int? m)", "m >= 0"),
+        ("is_nil", "(nil? n)", "n IS NULL"), ("is_some", "(some? n)", "n IS NOT NULL"), ("is_any", "(any? n)", "true"), ("is_number", "(number? z)", "true"), ("text_number", "(number? n)", "false"), ("is_int", "(int? z)", "true"), ("is_double", "(double? z)", "false"), ("is_string", "(string? b)", "true"),
+        ("is_keyword", "(keyword? b)", "false"), ("is_coll", "(coll? w)", "true"), ("is_vector", "(vector? w)", "true"), ("is_map", "(map? w)", "false"), ("is_uuid", "(uuid? n)", "false"), ("is_uri", "(uri? n)", "false"), ("is_blank", "(blank? n)", "trim(n) = ''"), ("is_empty", "(empty? w)", "len(w) = 0"),
+    ],
+    "fn_text": [
+        ("up", "(upper-case n)", "upper(n)"), ("low", "(lower-case t)", "lower(t)"), ("cap", "(capitalize n)", "upper(n[1:1]) || lower(n[2:])"), ("tail", "(subs n 2)", "substr(n, 3)"), ("part", "(subs n 1 4)", "substr(n, 2, 3)"), ("glued", '(str b "-" z)', "b || '-' || z"), ("shaped", '(format "%s/%03d" b z)', "printf('%s/%03d', b, z)"),
+        ("found", '(re-find "[A-Z]+$" t)', "nullif(regexp_extract(t, '[A-Z]+$'), '')"), ("whole", '(re-matches "Brand#1." b)', "CASE WHEN regexp_full_match(b, 'Brand#1.') THEN b END"), ("every", '(re-seq "[a-e]+" n)', "to_json(regexp_extract_all(n, '[a-e]+'))"), ("starts", '(starts-with? b "Brand#1")', "starts_with(b, 'Brand#1')"), ("ends", '(ends-with? b "3")', "ends_with(b, '3')"),
+        ("holds", '(includes? n "re")', "contains(n, 're')"), ("at", '(index-of n "e")', "nullif(instr(n, 'e') - 1, -1)"), ("size", "(string-length n)", "length(n)"), ("back", "(string-reverse b)", "reverse(b)"), ("swapped", '(replace n "e" "_")', "replace(n, 'e', '_')"), ("joined", '(join "+" w)', "array_to_string(w, '+')"), ("trimmed", "(trim b)", "trim(b)"), ("left_trimmed", "(triml b)", "ltrim(b)"), ("right_trimmed", "(trimr b)", "rtrim(b)"),
+    ],
+    "fn_sequences": [
+        ("head", "(first w)", "w[1]"), ("two", "(second w)", "w[2]"), ("end", "(last w)", "w[-1]"), ("top", "(peek w)", "w[-1]"), ("some", "(nth w 0)", "w[1]"), ("size", "(size w)", "len(w)"), ("rest", "(rest w)", "to_json(w[2:])"), ("init", "(butlast w)", "to_json(w[:-2])"), ("popped", "(pop w)", "to_json(w[:-2])"), ("some_first", "(take 2 w)", "to_json(w[1:2])"), ("dropped", "(drop 1 w)", "to_json(w[2:])"),
+        ("some_last", "(take-last 2 w)", "to_json(w[-2:])"), ("back", "(reverse w)", "to_json(list_reverse(w))"), ("sorted", "(sort w)", "to_json(list_sort(w))"), ("added", "(conj w \"x\")", "to_json(list_append(w, 'x'))"), ("led", '(cons "x" w)', "to_json(list_prepend('x', w))"), ("twice", "(concat w w)", "to_json(list_concat(w, w))"), ("few", "(subvec w 0 2)", "to_json(w[1:2])"), ("numbers", "(range 0 3)", "'[0,1,2]'"), ("many", "(repeat 2 b)", "to_json([b, b])"),
+        ("given", "(vector z m)", "to_json([z, m])"), ("listed", "(list z m)", "to_json([z, m])"), ("nths", "(take-nth 2 w)", "to_json(list_filter(w, lambda x, i: i % 2 = 1))"), ("spaced", '(interpose "-" w)', "to_json(list_filter(flatten(list_transform(w, lambda x: ['-', x])), lambda x, i: i > 1))"),
+    ],
+    "fn_sets_maps": [
+        ("made", "(hash-set z z)", "to_json([z])"), ("ordered", "(sorted-set z 25 3)", "to_json(list_sort(list_distinct([z, 25, 3])))"), ("held", '(contains? w "red")', "list_contains(w, 'red')"), ("among", "(contains? #{1 7 30} z)", "z IN (1, 7, 30)"), ("size_u", "(vector z) u (vector m) v (union u v) x (size x)", "CASE WHEN z = m THEN 1 ELSE 2 END"),
+        ("both", "(vector z 10) u1 (vector m 10) v1 (intersection u1 v1) x1 (sort x1)", "to_json(list_sort(CASE WHEN z = m AND z <> 10 THEN [z, 10] ELSE [10] END))"), ("less", "(vector z 10) u2 (vector 10) v2 (difference u2 v2)", "to_json(list_filter([z, 10], lambda x: x <> 10))"), ("without", "(vector z 10 11) u3 (disj u3 10)", "to_json(list_filter([z, 10, 11], lambda x: x <> 10))"),
+        ("got", '(hash-map "a" z "b" m) h (get h "b")', "m"), ("missing", '(hash-map "a" z) h1 (get h1 "c" 7)', "7"), ("names", '(hash-map "a" z "b" m) h2 (keys h2)', "'[\"a\",\"b\"]'"), ("values", '(hash-map "a" z "b" m) h3 (vals h3)', "to_json([z, m])"), ("put", '(hash-map "a" z) h4 (assoc h4 "a" m) h5 (get h5 "a")', "m"), ("gone", '(hash-map "a" z "b" m) h6 (dissoc h6 "a") h7 (keys h7)', "'[\"b\"]'"),
+        ("merged", '(hash-map "a" z) h8 (hash-map "a" m) h9 (merge h8 h9) h10 (get h10 "a")', "m"), ("paired", '(vector b t) kk (vector z m) vv (zipmap kk vv) h11 (get h11 t)', "m"),
+    ],
+    "fn_casts": [
+        ("as_long", "(long z)", "CAST(z AS BIGINT)"), ("as_int", "(int p)", "CAST(p AS INTEGER)"), ("as_short", "(short z)", "CAST(z AS SMALLINT)"), ("as_byte", "(byte z)", "CAST(z AS TINYINT)"), ("as_double", "(double z)", "CAST(z AS DOUBLE)"), ("as_keyword", "(keyword b)", "':' || b"), ("as_name", '(name ":shop/part")', "'part'"), ("as_space", '(namespace ":shop/part")', "'shop'"),
+        ("as_text", "(str z)", "CAST(z AS VARCHAR)"), ("as_same", "(identity z)", "z"), ("as_not", "(even? z) ev (not ev)", "z % 2 <> 0"), ("as_true", "(even? z) ev1 (true? ev1)", "z % 2 = 0"), ("as_false", "(even? z) ev2 (false? ev2)", "z % 2 <> 0"),
+    ],
+}
+
+
+def _family(name: str) -> None:
+    calls, columns = [], []
+    for column, steps, _ in FAMILIES[name]:
+        parts = re.findall(r"(\((?:[^()\"]|\"[^\"]*\")*\))(?: (\w+))?", steps)
+        calls += [f"[{call} {var or 'out_' + column}]" for call, var in parts]
+        columns.append(column)
+    query = f"{{:find [p {' '.join('out_' + x for x in columns)}] :keys [p_partkey {' '.join(columns)}] :where [[p :p_name n] [p :p_brand b] [p :p_type t] [p :p_size z] [(- 20 z) m] [(split n \" \") w] {' '.join(calls)}]}}"
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        out = database(spark, d, "part").df(query)
+        return out.select(*[F.to_json(c).alias(c) if kind.startswith("array") else F.col(c) for c, kind in out.dtypes])
+
+    run.__name__ = name
+    register(f"SELECT p AS p_partkey, {', '.join(f'{sql} AS {column}' for column, _, sql in FAMILIES[name])} FROM {_PARTS}")(run)
+
+
+for _name in FAMILIES:
+    _family(_name)
