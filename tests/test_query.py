@@ -207,3 +207,30 @@ def test_a_group_of_nothing_has_no_values_to_give(spark):
     node = Node(spark)
     node.submit_tx('[[:db.tx/put {:db/id :a :kind "x" :v nil}] [:db.tx/put {:db/id :b :kind "y" :v 4}]]')
     assert node.db().q("{:find [k (min 2 v) (rand 2 v)] :where [[e :kind k] [e :v v]]}") == {("x", (), ()), ("y", (4,), (4, 4))}
+
+
+def test_joins_along_keys_come_before_products(spark, monkeypatch):
+    """Customers and suppliers of one nation meet along their orders' lines only."""
+    from tidemark.db import Db
+    from tidemark.model import Catalog, entity_table
+    from tidemark.plans.compile import Compiler
+
+    catalog = Catalog()
+    for name, rows, columns in (
+        ("customer", [(k, 1) for k in range(20)], "c_id long, c_nation int"),
+        ("orders", [(k, k % 20) for k in range(40)], "o_id long, o_customer long"),
+        ("line", [(k % 40, k % 20) for k in range(80)], "l_order long, l_supplier long"),
+        ("supplier", [(k, 1) for k in range(20)], "s_id long, s_nation int"),
+        ("nation", [(1, "here")], "n_id int, n_name string"),
+    ):
+        catalog.add(entity_table(name, spark.createDataFrame(rows, columns), None if name == "line" else f"{name[0]}_id"))
+    made, join = [], Compiler.join
+
+    def counted(self, a, b, how="inner"):
+        made.append(join(self, a, b, how))
+        return made[-1]
+
+    monkeypatch.setattr(Compiler, "join", counted)
+    out = Db(spark, catalog).df('{:find [(count o)] :where [[c :c_nation n] [o :o_customer c] [l :l_order o] [l :l_supplier s] [s :s_nation n] [n :n_name "here"]]}')
+    assert out.first()[0] == 80
+    assert max(df.count() for df in made) <= 80

@@ -1,7 +1,8 @@
 """Clauses to one DataFrame with a column for each variable.
 
 All triples of one entity variable in one table are a single scan. Scans are joined along shared
-variables, the connected first. Predicates, ranges and function bindings are applied as soon as
+variables: what is looked up by its id first, then what refers to an id that is bound, what shares
+other values last, as only that multiplies both sides. Predicates, ranges and function bindings are applied as soon as
 their variables are bound; Catalyst pushes them down. `not` is an anti-join, `or` a union, a
 correlated sub-query a join with the distinct values it depends on, a rule a relation that a
 fixpoint fills. Every row is one distinct assignment of all variables, so aggregates see a bag.
@@ -190,7 +191,7 @@ class Compiler:
     def solve(self, clauses: list, seed: DataFrame | None = None, rules: dict[str, DataFrame] | None = None) -> DataFrame:
         """The relation of all assignments that satisfy the clauses, joined with `seed`."""
         stars: dict[object, list[tuple[str, object]]] = {}
-        rest, relations = [], []
+        rest, relations, ids = [], [], set()
         for x in clauses:
             if isinstance(x, Triple):
                 key = x.e if is_var(x.e) or x.e is None or not isinstance(x.e, list) else tuple(x.e)
@@ -198,7 +199,7 @@ class Compiler:
             else:
                 rest.append(x)
         for e, parts in stars.items():
-            relations += self._star(e, parts)
+            relations += [(e.name if is_var(e) else None, r) for r in self._star(e, parts)]
         out = seed
         while relations or rest:
             if out is not None:
@@ -210,15 +211,16 @@ class Compiler:
                     continue
             if relations:
                 bound = set(out.columns) if out is not None else set()
-                relations.sort(key=lambda r: -len(bound & set(r.columns)))
-                if out is not None and not bound & set(relations[0].columns):
+                at = min(range(len(relations)), key=lambda k: self._growth(*relations[k], bound, ids))
+                if out is not None and not bound & set(relations[at][1].columns):
                     # Nothing connects yet: a rule, an or or a function may, before a cross product does.
-                    link = next((x for x in rest if self._can_start(x) and variables(x) & (bound | {n for r in relations for n in r.columns})), None)
+                    link = next((x for x in rest if self._can_start(x) and variables(x) & (bound | {n for _, r in relations for n in r.columns})), None)
                     if link is not None:
                         rest.remove(link)
                         out = self._apply(link, out, rules)
                         continue
-                one = relations.pop(0)
+                key, one = relations.pop(at)
+                ids.add(key)
                 out = one if out is None else self.join(out, one)
                 continue
             start = next((x for x in rest if self._can_start(x)), None)
@@ -232,6 +234,12 @@ class Compiler:
             out = self._apply(start, out, rules)
         return out if out is not None else self._unit()
 
+    @staticmethod
+    def _growth(key: str | None, relation: DataFrame, bound: set[str], ids: set[str | None]) -> tuple[int, int]:
+        """How a join with a relation of entities `key` may grow what is bound: not at all by its id, by its rows for an id of those joined before (`ids`), by a product of both sides along other values."""
+        shared = bound & set(relation.columns)
+        return (3 if not shared else 0 if key in shared else 1 if shared & ids else 2), -len(shared)
+
     def _unit(self) -> DataFrame:
         """One row without variables; joined as it is, it leaves the other side alone."""
         self.units.append(self.spark.range(1).select(F.lit(1).alias(fresh("__unit"))))
