@@ -226,3 +226,12 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 5
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert F is not None
+
+
+def test_all_suppliers_that_share_the_largest_revenue(spark, tmp_path):
+    """Equal in decimals, though doubles summed in these orders differ."""
+    prices = {1: [0.1, 0.2, 0.3], 2: [0.3, 0.2, 0.1], 3: [0.2, 0.2, 0.1]}
+    lines = [(s, p, 0.0, datetime(1998, 2, 1)) for s, ps in prices.items() for p in ps]
+    spark.createDataFrame(lines, "l_suppkey long, l_extendedprice double, l_discount double, l_shipdate timestamp").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(s, f"S{s}") for s in prices], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert sorted(map(tuple, REGISTERED["subq_max"][0](spark, str(tmp_path)).collect())) == [(1, "S1", 0.6), (2, "S2", 0.6)]

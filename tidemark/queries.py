@@ -787,11 +787,12 @@ def approx_distinct(spark: SparkSession, d: str) -> DataFrame:
 SELECT s_suppkey, s_name, round(total, 2) AS total FROM supplier JOIN (SELECT l_suppkey, sum(l_extendedprice * (1 - l_discount)) AS total FROM lineitem WHERE l_shipdate >= DATE '1998-01-01' AND l_shipdate < DATE '1998-04-01' GROUP BY l_suppkey) r ON s_suppkey = l_suppkey
 WHERE total = (SELECT max(t) FROM (SELECT sum(l_extendedprice * (1 - l_discount)) AS t FROM lineitem WHERE l_shipdate >= DATE '1998-01-01' AND l_shipdate < DATE '1998-04-01' GROUP BY l_suppkey))""")
 def subq_max(spark: SparkSession, d: str) -> DataFrame:
-    """The supplier of the largest revenue: the sub-query's rows are ordered and limited."""
-    return database(spark, d, "lineitem", "supplier").df("""
-      {:find [s name t] :keys [s_suppkey s_name total]
-       :where [[(q {:find [k (sum r)] :where [[l :l_suppkey k] [l :l_extendedprice p] [l :l_discount disc] [l :l_shipdate ship] [(>= ship #inst "1998-01-01")] [(< ship #inst "1998-04-01")] [(- 1 disc) keep] [(* p keep) r]]
-                    :order-by [[(sum r) :desc]] :limit 1}) [[s t]]] [s :s_name name]]}""").select("s_suppkey", "s_name", money("total"))
+    """The suppliers of the largest revenue, all that share it. Sums are of decimals: those of doubles differ by the order of rows, which would part equal ones."""
+    totals = """{:find [k (sum r)] :where [[l :l_suppkey k] [l :l_extendedprice p] [l :l_discount disc] [l :l_shipdate ship] [(>= ship #inst "1998-01-01")] [(< ship #inst "1998-04-01")]
+                                           [(- 1 disc) keep] [(* p keep) x] [(bigdec x) r]]}"""
+    return database(spark, d, "lineitem", "supplier").df(f"""
+      {{:find [s name t] :keys [s_suppkey s_name total]
+       :where [[(q {totals}) [[s t]]] [(q {{:find [(max y)] :where [[(q {totals}) [[z y]]]]}}) [[t]]] [s :s_name name]]}}""").select("s_suppkey", "s_name", money("total"))
 
 
 @register("SELECT c_custkey, round(c_acctbal, 2) AS c_acctbal FROM customer WHERE c_mktsegment = 'AUTOMOBILE' AND c_acctbal >= 1000 AND c_nationkey < 12")
