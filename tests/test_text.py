@@ -7,7 +7,8 @@ import pytest
 
 from tidemark.db import Db
 from tidemark.model import Catalog, entity_table
-from tidemark.operators.text import B, K1, TextIndex, facts, index, parse_text, search
+from tidemark.operators.text import B, K1, TextIndex, facts, index, parse_text, postings_of, search, search_texts
+from tidemark.sources.stores import TableStore
 
 
 def words(text):
@@ -114,3 +115,45 @@ def test_hits_of_a_stored_index_hold_at_the_basis(spark, catalog, tmp_path):
     assert {r[:2] for r in db.q('{:find [e a] :where [[(wildcard-text-search "york") [[e v a s]]]]}')} == {("a", "body"), ("b", "body")}
     assert db.q('{:find [e] :where [[(multi-text-search "body:york AND body:new") [[e s]]]]}') == {("a",), ("b",)}
     assert db.q('{:find [e] :where [[(text-search :body "\\"new york\\"") [[e v s]]]]}') == {("a",)}
+
+
+@pytest.mark.parametrize(("query", "leaves", "keep"), CASES, ids=[c[0] for c in CASES])
+def test_values_are_searched_as_their_index(catalog, texts, query, leaves, keep):
+    scores = lambda found: {r["e"]: round(r["score"], 9) for r in found.collect()}
+    assert scores(search_texts(facts(catalog, "body"), query, ["e"])) == scores(search(index(catalog, "body"), query, ["e"]))
+
+
+def test_rows_that_repeat_a_value_count_together(spark):
+    made = facts(Catalog().add(entity_table("t", spark.createDataFrame([("1", "new york, new york")] * 2 + [("2", "york")], "id string, body string"), "id")), "body")
+    for found in (search(postings_of(made), '"new york"', ["e"]), search_texts(made, '"new york"', ["e"])):
+        (row,) = found.collect()
+        idf = math.log(1 + 1.5 / 1.5) + math.log(1 + 0.5 / 2.5)
+        assert row["e"] == "1" and abs(row["score"] - idf * 4 * (K1 + 1) / (4 + K1 * (1 - B + B * 4 / 2.5))) < 1e-9
+
+
+def test_postings_are_never_shuffled(spark, catalog, tmp_path, monkeypatch):
+    """Neither to index values nor to compact segments, though some are stale."""
+    written, write = [], TableStore.write
+
+    def seen(self, df, order, sort=None, base=False):
+        if self.path.endswith("postings"):
+            written.append(df._jdf.queryExecution().executedPlan().toString())
+        write(self, df, order, sort, base)
+
+    monkeypatch.setattr(TableStore, "write", seen)
+    stored = TextIndex(spark, f"file://{tmp_path}/ix").build(catalog, "body")
+    stored.update(facts(catalog, "body").limit(0), 1, spark.createDataFrame([("1",), ("2",)], "e string"))
+    stored.compact()
+    # What is stale is shuffled and broadcast; the postings' side of the last join isn't.
+    assert "Exchange" not in written[0] and "BroadcastHashJoin" in written[-1] and "rangepartitioning" not in written[-1]
+    assert not {"1", "2"} & {r["e"] for r in stored.current().select("e").distinct().collect()}
+
+
+def test_values_are_read_once(spark, tmp_path):
+    """A search of values analyzes each text once, whatever it computes from that."""
+    spark.createDataFrame([("1", "new york"), ("2", "york city"), ("3", "...")], "id string, body string").write.parquet(f"{tmp_path}/t")
+    at = Catalog().add(entity_table("t", spark.read.parquet(f"{tmp_path}/t"), "id"))
+    found = Db(spark, at).df('{:find [e] :where [[(multi-text-search "body:york AND body:city") [[e s]]]]}')
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [("2",)]
+    assert "split(" not in plan and "[^" not in plan
