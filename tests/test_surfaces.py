@@ -1,3 +1,4 @@
+import hashlib
 import time
 from datetime import datetime
 
@@ -8,6 +9,7 @@ from tidemark.db import Db
 from tidemark.model import Catalog, entity_table
 from tidemark.node import Node
 from tidemark.operators.pull import pull_columns
+from tidemark.operators.temporal import fold_put
 from tidemark.operators.text import parse_text
 from tidemark.plans.sparql import translate
 from tidemark.queries import REGISTERED
@@ -235,3 +237,26 @@ def test_all_suppliers_that_share_the_largest_revenue(spark, tmp_path):
     spark.createDataFrame(lines, "l_suppkey long, l_extendedprice double, l_discount double, l_shipdate timestamp").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.createDataFrame([(s, f"S{s}") for s in prices], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
     assert sorted(map(tuple, REGISTERED["subq_max"][0](spark, str(tmp_path)).collect())) == [(1, "S1", 0.6), (2, "S2", 0.6)]
+
+
+def test_entities_are_folded_in_a_stream(spark):
+    """Many entities in one batch, and one whose rows fill several: as the same operations one by one."""
+    when = datetime(2024, 3, 1)
+    rows = [(tx, when, 0, "put", f"e{k}", datetime(2024, 2, 1 + tx % 5), datetime(2024, 2, 2 + tx % 5 + k % 3) if tx % 2 else None, f"d{tx}") for k in range(40) for tx in range(3)]
+    rows += [(tx, when, 0, "put" if tx % 3 else "delete", "long", datetime(2024, 2, 1 + tx % 9), datetime(2024, 2, 11), f"d{tx}") for tx in range(30)]
+    log, apart = spark.createDataFrame(rows, LOG), {}
+    versions = lambda df: sorted((tuple(r) for r in df.collect()), key=lambda r: tuple(map(str, r)))
+    for size in (7, 10000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        folded = fold_log(log)
+        apart[size] = versions(folded)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = folded._jdf.queryExecution().executedPlan().toString()
+    assert apart[7] == apart[10000] and "MapInArrow" in plan and "FlatMapGroups" not in plan
+    for eid in ("e1", "e2", "long"):
+        existing = []
+        for tx, tt, _, op, _, vt, end, doc in (r for r in rows if r[4] == eid):
+            for row in fold_put(existing, vt, end, tt, tx, hashlib.sha1(doc.encode()).hexdigest() if op == "put" else None):
+                existing = [v for v in existing if (v[0], v[2]) != (row[0], row[2])] + [row]
+        key = lambda r: tuple(map(str, r))
+        assert sorted(((eid, *v) for v in existing), key=key) == sorted((r for r in apart[7] if r[0] == eid), key=key)

@@ -8,9 +8,10 @@ special: they are puts with an old valid time, and no watermark ever drops one.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby, islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,20 +21,27 @@ from tidemark.sources.stores import TableStore
 
 LOG = "tx_id bigint, tx_time timestamp, op_idx int, op string, eid string, vt timestamp, end_vt timestamp, doc string"
 VERSIONS = "eid string, vt timestamp, tt timestamp, tx_id bigint, content_hash string"
+FOLDED_VERSIONS = "eid string, vt bigint, tt bigint, tx_id bigint, content_hash string"
 
 
-def _fold(rows: pd.DataFrame) -> pd.DataFrame:
-    existing: list[tuple] = []
-    rows = rows.sort_values(["old", "tx_id", "op_idx"], ascending=[False, True, True])
-    for r in rows.itertuples(index=False):
-        content = None if pd.isna(r.content_hash) else r.content_hash
-        if r.old:
-            existing.append((r.vt, r.tx_time, r.tx_id, content))
-            continue
-        start = r.tx_time if pd.isna(r.vt) else r.vt
-        for row in fold_put(existing, start, None if pd.isna(r.end_vt) else r.end_vt, r.tx_time, int(r.tx_id), content if r.op == "put" else None):
-            existing[:] = [v for v in existing if (v[0], v[2]) != (row[0], row[2])] + [row]
-    return pd.DataFrame([(rows["eid"].iloc[0], *v) for v in existing], columns=["eid", "vt", "tt", "tx_id", "content_hash"])
+def _fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Folds entities whose rows (eid, old, tx_id, op_idx, vt, end_vt, tt, content_hash) come one after another, however they lie in batches: old versions first, then operations in order. Times are microseconds, a null hash is a deletion."""
+    made = pa.schema([("eid", pa.string()), ("vt", pa.int64()), ("tt", pa.int64()), ("tx_id", pa.int64()), ("content_hash", pa.string())])
+
+    def folded(rows: Iterable[tuple]) -> Iterator[tuple]:
+        for eid, mine in groupby(rows, key=lambda r: r[0]):
+            existing: list[tuple] = []
+            for _, old, tx_id, _, vt, end, tt, content in mine:
+                if old:
+                    existing.append((vt, tt, tx_id, content))
+                    continue
+                for row in fold_put(existing, tt if vt is None else vt, end, tt, tx_id, content):
+                    existing = [v for v in existing if (v[0], v[2]) != (row[0], row[2])] + [row]
+            yield from ((eid, *v) for v in existing)
+
+    found = folded(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    while some := list(islice(found, 10_000)):
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), made, strict=True)], schema=made)
 
 
 def fold_log(log: DataFrame, versions: DataFrame | None = None) -> DataFrame:
@@ -42,7 +50,8 @@ def fold_log(log: DataFrame, versions: DataFrame | None = None) -> DataFrame:
     An operation without end adds one version, whatever came before, unless a version that is
     visible at its start has others of the same transaction after it. So entities of which no
     operation has an end and no transaction more than one stay native; only the others are
-    grouped, as each of their operations depends on those before.
+    folded one by one, as each of their operations depends on those before: sorted by entity, so
+    that a task streams through as many as it has.
     """
     spark = log.sparkSession
     new = log.where("op IN ('put', 'delete')").select("eid", "vt", "tx_time", "tx_id", "op_idx", "op", "end_vt", F.when(F.col("op") == "put", F.sha1(F.col("doc").cast("binary"))).alias("content_hash"), F.lit(False).alias("old"))
@@ -54,7 +63,11 @@ def fold_log(log: DataFrame, versions: DataFrame | None = None) -> DataFrame:
     several = several.distinct()
     plain = new.join(several, "eid", "left_anti").select("eid", F.coalesce("vt", "tx_time").alias("vt"), F.col("tx_time").alias("tt"), "tx_id", "content_hash")
     old = before.select("eid", "vt", F.col("tt").alias("tx_time"), "tx_id", F.lit(0).alias("op_idx"), F.lit("put").alias("op"), F.lit(None).cast("timestamp").alias("end_vt"), "content_hash", F.lit(True).alias("old"))
-    rest = new.unionByName(old).join(several, "eid", "left_semi").groupBy("eid").applyInPandas(_fold, VERSIONS)
+    rows = new.unionByName(old).join(several, "eid", "left_semi")
+    micros = {n: F.unix_micros(F.col(x).cast("timestamp")) for n, x in (("vt", "vt"), ("end_vt", "end_vt"), ("tt", "tx_time"))}
+    rows = rows.select("eid", "old", "tx_id", "op_idx", *[c.alias(n) for n, c in micros.items()], F.when(F.col("op") == "put", F.col("content_hash")).alias("content_hash"))
+    rows = rows.repartition("eid").sortWithinPartitions("eid", F.desc("old"), "tx_id", "op_idx")
+    rest = rows.mapInArrow(_fold, FOLDED_VERSIONS).select("eid", F.timestamp_micros("vt").alias("vt"), F.timestamp_micros("tt").alias("tt"), "tx_id", "content_hash")
     return before.join(several, "eid", "left_anti").unionByName(plain).unionByName(rest)
 
 
