@@ -234,3 +234,17 @@ def test_joins_along_keys_come_before_products(spark, monkeypatch):
     out = Db(spark, catalog).df('{:find [(count o)] :where [[c :c_nation n] [o :o_customer c] [l :l_order o] [l :l_supplier s] [s :s_nation n] [n :n_name "here"]]}')
     assert out.first()[0] == 80
     assert max(df.count() for df in made) <= 80
+
+
+def test_rows_of_one_id_are_compared_the_others_are_not(spark, tmp_path):
+    from tidemark.db import Db
+    from tidemark.model import Catalog, entity_table
+
+    rows = [(1, "a b"), (2, "b c"), (2, "b c"), (2, "c"), (None, "d"), (None, "d"), (3, "b c"), (4, None)]
+    spark.createDataFrame(rows, "id long, name string").write.parquet(f"{tmp_path}/t")
+    out = Db(spark, Catalog().add(entity_table("t", spark.read.parquet(f"{tmp_path}/t"), "id"))).df('{:find [e w m] :where [[e :name n] [(split n " ") w] [(count n) m]]}')
+    want = [(1, ["a", "b"], 3), (2, ["b", "c"], 3), (2, ["c"], 1), (3, ["b", "c"], 3), (None, ["d"], 1)]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    # Rows whose id is there once pass no aggregation, only the join that tells so.
+    first = out._jdf.queryExecution().optimizedPlan().toString().split("LeftSemi")[0]
+    assert "LeftAnti" in first and "Aggregate" not in first[: first.index("LeftAnti")]

@@ -639,7 +639,7 @@ class Compiler:
         else:
             out = rel.select(*[F.col(f"`{g}`") for g in group], *plain)
             if not query.bag:
-                out = out.distinct()
+                out = self._distinct(query, out, names) if not group else out.distinct()
         order = [F.col(f"`{names[k]}`").asc_nulls_first() if way == "asc" else F.col(f"`{names[k]}`").desc_nulls_last() for k, way in query.order_by]
         if group and (query.limit is not None or query.offset is not None):
             number = F.row_number().over(W.partitionBy(*[f"`{g}`" for g in group]).orderBy(*(order or [F.lit(1)])))
@@ -654,6 +654,31 @@ class Compiler:
             out = out.limit(query.limit)
         return out, columns
 
+    def _distinct(self, query: Query, out: DataFrame, names: list[str]) -> DataFrame:
+        """The distinct rows. If all values are computed from one row of a table whose id is among them, only rows with an id that is there again can be equal: the others pass a join with these ids only, and no task collects what is computed."""
+        found = self._one_row(query)
+        if found is None:
+            return out.distinct()
+        table, k = found
+        key = fresh("__id")
+        again = table.df.groupBy(F.col(f"`{table.eid}`").alias(key)).agg(F.count(F.lit(1)).alias("__rows")).where((F.col("__rows") > 1) | F.col(key).isNull()).select(key)
+        same = F.col(f"`{names[k]}`").eqNullSafe(F.col(key))
+        return out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").distinct())
+
+    def _one_row(self, query: Query) -> tuple[EntityTable, int] | None:
+        """The table of whose single rows all else is computed, and where its id is in find; None if a clause may join or make rows, or if nothing is computed."""
+        triples = [x for x in query.where if isinstance(x, Triple)]
+        calls = [x for x in query.where if isinstance(x, Pred)]
+        if query.ins or query.args or not triples or len(triples) + len(calls) != len(query.where) or not is_var(triples[0].e) or any(x.e != triples[0].e for x in triples):
+            return None
+        tables = self.catalog.holding({x.a for x in triples})
+        if len(tables) != 1 or tables[0].eid is None or triples[0].e not in [t for t in query.find if is_var(t)] or any(isinstance(tables[0].kind(x.a), T.ArrayType) for x in triples):
+            return None
+        special = {"q", "get-attr", *self.constraints}
+        if not any(x.binding for x in calls) or any((x.binding is not None and x.binding[0] not in ("scalar", "tuple")) or (is_var(x.fn) and x.fn.name in special) for x in calls):
+            return None
+        return tables[0], query.find.index(triples[0].e)
+
     @staticmethod
     def _title(term: object, k: int) -> str:
         if is_var(term):
